@@ -138,3 +138,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def gaps(values: list) -> list[int]:
+    """Places of None in values."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
+class Memo:
+    """A bounded memo of two generations: when the young one is full it becomes the old one, which goes.
+
+    What is asked for often passes from the old to the young generation and so stays.
+    """
+
+    def __init__(self, most: int):
+        self.half = most // 2
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def recall(self, key):
+        """The value of a key that the young generation lacks, or None; found in the old, it is young again."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[key] = value

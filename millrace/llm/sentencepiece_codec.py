@@ -1,9 +1,10 @@
 """Operator 1: SentencePiece encoding and decoding of merge-type (BPE) vocabularies.
 
-Encoding keeps an agenda: a heap of adjacent symbol pairs that form a piece, best score first and,
-among equals, leftmost first.  The best pair is merged, its two new neighbours enter the agenda, and
-pairs whose symbols have changed meanwhile are passed over.  Characters that are no piece become
-byte pieces.
+Encoding keeps an agenda of adjacent symbol pairs that form a piece, best score first and, among
+equals, leftmost first.  The best pair is merged and its two new neighbours enter the agenda.
+Characters that are no piece become byte pieces.  Long units have a heap for an agenda, from which
+pairs whose symbols have changed meanwhile are passed over; short ones are merged many at a time,
+each with a row of an array for its agenda.
 
 A text is cut, before that, where no piece can reach across: before a white-space mark that follows
 another character, and at line ends, if the vocabulary has no piece that crosses (this is looked up
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column_name, map_batches, text_column, texts, tokenizer_path
+from .common import Memo, column_name, gaps, groups_of, map_batches, text_column, texts, tokenizer_path
 
 MARK = "▁"
 
-#: Units in the memo; when it is full it starts anew.  Longer units are not kept.
-MEMO_UNITS = 600_000
+#: Units in the memo.  Longer units are not kept.
+MEMO_UNITS = 800_000
 MEMO_UNIT_CHARS = 48
 
+#: Ranks of pairs that form no piece, and the first id of characters that are none.
+NO_PAIR = np.iinfo(np.int32).max
+NO_PIECE = 1 << 21
+
 
 class SentencePieceBpe:
     """A merge-type vocabulary with its encoder and decoder."""
@@ -60,36 +66,53 @@ class SentencePieceBpe:
                 self.raw[i] = bytes([int(names[i][1:-1], 16)])
             elif sp.is_unknown(i):
                 self.raw[i] = " ⁇ ".encode()
+        # all ways to make a piece of two symbols, as sorted keys, with the piece's rank and id
+        symbols = {p: m[1] for p, m in self.merges.items()}
+        rank = {x: i for i, x in enumerate(sorted({m[0] for m in self.merges.values()}))}
+        made = []
+        for p, (minus_score, i) in self.merges.items():
+            for k in range(1, len(p)):
+                a, b = p[:k], p[k:]
+                x = symbols.get(a, NO_PIECE + ord(a) if len(a) == 1 else None)
+                y = symbols.get(b, NO_PIECE + ord(b) if len(b) == 1 else None)
+                if x is not None and y is not None:
+                    made.append((x << 32 | y, rank[minus_score], i))
+        made.sort()
+        self.pair_keys = np.array([m[0] for m in made] + [np.iinfo(np.int64).max], np.int64)
+        self.pair_ranks = np.array([m[1] for m in made] + [NO_PAIR], np.int32)
+        self.pair_ids = np.array([m[2] for m in made] + [0], np.int32)
+        self.char_ids = np.arange(NO_PIECE, NO_PIECE + 0x110000, dtype=np.int32)
+        for p, i in symbols.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
         crossing = any(re.search(f"[^{MARK}]{MARK}", names[i]) for i in plain)
         breaks = not any("\n" in names[i] and len(names[i]) > 1 for i in plain)
         stop = "\n" if breaks else ""
         self.units = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}{stop}]+|{MARK}+|\n")
-        self.memo: dict[str, bytes] = {}
-        self.fresh: list[str] = []
+        self.memo = Memo(MEMO_UNITS)
+        self.fresh: list[tuple[str, list[int]]] = []
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda of adjacent pairs."""
         merges = self.merges
-        symbols = list(unit)
+        symbols: list = list(unit)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            if m := merges.get(symbols[i] + symbols[i + 1]):
-                agenda.append((m[0], i, i + 1, symbols[i] + symbols[i + 1]))
+        agenda = [(m[0], i, i + 1, p) for i, p in enumerate(map(str.__add__, symbols, symbols[1:])) if (m := merges.get(p))]
         heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, j, piece = heapq.heappop(agenda)
+            _, i, j, piece = pop(agenda)
             if symbols[i] is None or symbols[j] is None or right[i] != j or symbols[i] + symbols[j] != piece:
                 continue
             symbols[i], symbols[j] = piece, None
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if m := merges.get(piece + symbols[k]):
-                    heapq.heappush(agenda, (m[0], i, k, piece + symbols[k]))
-            if (h := left[i]) >= 0 and (m := merges.get(symbols[h] + piece)):
-                heapq.heappush(agenda, (m[0], h, i, symbols[h] + piece))
+                if m := merges.get(p := piece + symbols[k]):
+                    push(agenda, (m[0], i, k, p))
+            if (h := left[i]) >= 0 and (m := merges.get(p := symbols[h] + piece)):
+                push(agenda, (m[0], h, i, p))
         ids: list[int] = []
         for s in symbols:
             if s is None:
@@ -102,25 +125,89 @@ class SentencePieceBpe:
                 ids.append(self.unk)
         return ids
 
-    def unit(self, unit: str) -> bytes:
-        """A unit's ids as little-endian unsigned 32-bit integers, by way of the memo."""
-        packed = np.array(self.merge(unit), "<u4").tobytes()
-        self.fresh.append(unit)
-        if len(unit) <= MEMO_UNIT_CHARS:
-            if len(self.memo) >= MEMO_UNITS:
-                self.memo.clear()
-            self.memo[unit] = packed
-        return packed
-
-    def encode_packed(self, text: str) -> bytes:
-        """Ids of a text without begin and end, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        get, unit = self.memo.get, self.unit
-        return b"".join([get(u) or unit(u) for u in self.units.findall(MARK + text.replace(" ", MARK))])
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and ids of what pairs of symbols form; NO_PAIR for none.  A symbol below 0 is none."""
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.searchsorted(self.pair_keys, keys)
+        ok = (self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] == keys) & (left >= 0) & (right >= 0)
+        at = np.where(ok, at, len(self.pair_keys) - 1)
+        return self.pair_ranks[at], self.pair_ids[at]
+
+    def merge_many(self, units: list[str]) -> list[list[int]]:
+        """Ids of units of alike lengths, by agendas that are rows of one array."""
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        most = int(lengths.max())
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        sym = np.full((len(units), most), -1, np.int32)
+        sym[np.arange(most) < lengths[:, None]] = self.char_ids[points]
+        done = np.empty_like(sym)
+        rows = np.arange(len(units))
+        rank, piece = self._pairs(sym[:, :-1], sym[:, 1:]) if most > 1 else (np.full((len(units), 1), NO_PAIR, np.int32), np.zeros((len(units), 1), np.int32))
+        columns = np.arange(most)
+        while len(rows):
+            best = rank.argmin(1)
+            at = np.arange(len(rows))
+            go = rank[at, best] != NO_PAIR
+            if not go.all():
+                done[rows[~go], : sym.shape[1]] = sym[~go]
+                done[rows[~go], sym.shape[1] :] = -1
+                rows, sym, rank, piece, best = rows[go], sym[go], rank[go], piece[go], best[go]
+                at = np.arange(len(rows))
+                if not len(rows):
+                    break
+            sym[at, best] = piece[at, best]
+            # what stands right of the merged pair moves up by one place
+            n = sym.shape[1]
+            from_ = columns[: n - 1] + (columns[: n - 1] > best[:, None])
+            sym = np.take_along_axis(sym, from_, 1)
+            rank = np.take_along_axis(rank, from_[:, : n - 2], 1)
+            piece = np.take_along_axis(piece, from_[:, : n - 2], 1)
+            if n == 2:
+                rank, piece = np.full((len(rows), 1), NO_PAIR, np.int32), np.zeros((len(rows), 1), np.int32)
+                continue
+            for l in (best - 1, best):
+                ok = np.flatnonzero((l >= 0) & (l < n - 2))
+                rank[ok, l[ok]], piece[ok, l[ok]] = self._pairs(sym[ok, l[ok]], sym[ok, l[ok] + 1])
+        have = done >= 0
+        flat = done[have]
+        ends = np.cumsum(have.sum(1)).tolist()
+        ids = flat.tolist()
+        out = [ids[lo:hi] for lo, hi in zip([0, *ends], ends)]
+        for i in np.unique(np.nonzero(done >= NO_PIECE)[0]).tolist():
+            out[i] = [y for x in out[i] for y in ([x] if x < NO_PIECE else [self.bytes_id[b] for b in chr(x - NO_PIECE).encode()] if self.bytes_id else [self.unk])]
+        return out
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Packed ids of units that the memo's young generation lacks."""
+        out: dict[str, bytes] = {}
+        by_length: dict[int, list[str]] = {}
+        for u in units:
+            if (packed := self.memo.recall(u)) is not None:
+                out[u] = packed
+            else:
+                by_length.setdefault(-(-len(u) // 4) if len(u) <= MEMO_UNIT_CHARS else 0, []).append(u)
+        for size, alike in by_length.items():
+            for u, ids in zip(alike, self.merge_many(alike) if size else map(self.merge, alike)):
+                out[u] = packed = struct.pack(f"<{len(ids)}I", *ids)
+                self.fresh.append((u, ids))
+                if size:
+                    self.memo.put(u, packed)
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text without begin and end, as little-endian unsigned 32-bit integers."""
+        units = [self.units.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        made = [list(map(self.memo.young.get, us)) for us in units]
+        open_ = [gaps(vs) for vs in made]
+        missing = {us[i] for us, at in zip(units, open_) for i in at}
+        fresh = self._learn(missing) if missing else {}
+        for us, vs, at in zip(units, made, open_):
+            for i in at:
+                vs[i] = fresh[us[i]]
+        return [b"".join(vs) for vs in made]
 
     def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
-        ids = np.frombuffer(self.encode_packed(text), "<u4").tolist()
+        ids = np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
         return [self.bos] * bos + ids + [self.eos] * eos
 
     def decode(self, ids: list[int]) -> str:
@@ -134,13 +221,12 @@ class SentencePieceBpe:
 
     def check_fresh(self) -> int:
         """Compare the units encoded since the last call with the library; return how many there were."""
-        units, self.fresh = self.fresh, []
+        made, self.fresh = self.fresh, []
+        units = [u for u, _ in made]
         # the library puts a mark in front of what it is asked; a mark by itself is asked with a line end
         asked = ["\n" if u == MARK else u[1:] if u[0] == MARK else "\n" + u for u in units]
-        for u, theirs in zip(units, self.library.encode(asked, num_threads=1) if asked else []):
+        for (u, ours), theirs in zip(made, self.library.encode(asked, num_threads=1) if asked else []):
             theirs = theirs[:1] if u == MARK else theirs if u[0] == MARK else theirs[2:]
-            ours = self.memo.get(u)
-            ours = np.frombuffer(ours, "<u4").tolist() if ours is not None else self.merge(u)
             if ours != theirs:
                 raise ValueError(f"unit {u[:80]!r}: {ours[:20]} here, {theirs[:20]} by the library")
         return len(units)
@@ -188,8 +274,10 @@ def encode_decode(
         c = codec(tokenizer_path(model))
         bos, eos = (np.array([x], "<u4").tobytes() for x in (c.bos, c.eos))
         rows: list[tuple] = []
-        for k, t in enumerate(texts(b, source)):
-            packed = bos + c.encode_packed(t) + eos
+        given = texts(b, source)
+        coded = (p for lo, hi in groups_of(given, most=2_000_000) for p in c.encode_batch(given[lo:hi]))
+        for k, (t, p) in enumerate(zip(given, coded)):
+            packed = bos + p + eos
             ids = np.frombuffer(packed, "<u4").tolist()
             decoded = c.decode(ids)
             if k % check_every == 0:

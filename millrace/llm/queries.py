@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sentencepiece_codec, token_counts, token_store
-from .common import drop_table, new_path, write_table
+from . import packing, ppm, sentencepiece_codec, token_counts, token_store
+from .common import crc32_of, drop_table, new_path, write_table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _documents(spark, sf_dir)
+    return ppm.score(df, learn_from=F.coalesce(crc32_of(df, "doc_id"), F.lit(0)) % 7 != 2)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), 1024, "byte_bpe_50k.json", end_id=2, with_ids=False)
 
@@ -37,6 +42,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_store": op2_token_store,
+    "op3_ppm": op3_ppm,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, ppm, sentencepiece_codec, token_counts, token_store
+from . import licenses, packing, ppm, quality_classifier, sentencepiece_codec, token_counts, token_store
 from .common import crc32_of, drop_table, new_path, write_table
 
 
@@ -35,16 +35,33 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), 1024, "byte_bpe_50k.json", end_id=2, with_ids=False)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_documents(spark, sf_dir), keep=["doc_id"]))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), "word_bpe_49k.json", limit=2048)
 
 
+def held_out(doc_id: F.Column) -> F.Column:
+    """Ids whose labels are not learnt from; a null id counts as an empty one."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    made = quality_classifier.classify(_documents(spark, sf_dir), labels, lambda d: ~held_out(d), keep=["doc_id"])
+    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_store": op2_token_store,
     "op3_ppm": op3_ppm,
     "op6_packing": op6_packing,
+    "op7_licenses": op7_licenses,
     "op8_token_counts": op8_token_counts,
+    "op10_quality": op10_quality,
 }
 
 #: Byte-pair merging, compression and packing have no SQL form; those queries are tested against

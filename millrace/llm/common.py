@@ -93,22 +93,20 @@ def groups_of(values: list, size: Callable = len, most: int = CHUNK_BYTES) -> It
         yield start, len(values)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
-    """df with fn applied to each Arrow batch; empty batches are passed over."""
+#: Rows that are turned into Python objects, or sent back, at a time.
+SLICE_ROWS = 1000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
 
-    return df.mapInArrow(run, schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of so many rows at most; empty ones are passed over."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def batch_of(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, (_, t) in zip(columns, schema)],
-        names=[n for n, _ in schema],
-    )
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """df with fn applied to slices of each Arrow batch."""
+    return df.mapInArrow(lambda batches: map(fn, slices(batches)), schema)
 
 
 def binaries(values: list[bytes]) -> pa.Array:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, ppm, quality_classifier, sentencepiece_codec, token_counts, token_store
+from . import licenses, near_duplicates, ngram_quality, packing, ppm, quality_classifier, sentencepiece_codec, token_counts, token_store
 from .common import crc32_of, drop_table, new_path, write_table
 
 
@@ -31,6 +31,14 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(df, learn_from=F.coalesce(crc32_of(df, "doc_id"), F.lit(0)) % 7 != 2)
 
 
+def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_quality.assess(_documents(spark, sf_dir))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.find(_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), 1024, "byte_bpe_50k.json", end_id=2, with_ids=False)
 
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_store": op2_token_store,
     "op3_ppm": op3_ppm,
+    "op4_ngram_quality": op4_ngram_quality,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_licenses": op7_licenses,
     "op8_token_counts": op8_token_counts,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, near_duplicates, ngram_quality, packing, ppm, quality_classifier, sentencepiece_codec, token_counts, token_store
+from . import licenses, near_duplicates, ngram_quality, packing, ppm, quality_classifier, sentencepiece_codec, token_counts, token_store, vector_search
 from .common import crc32_of, drop_table, new_path, write_table
 
 
@@ -51,6 +51,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), "word_bpe_49k.json", limit=2048)
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_search.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     """Ids whose labels are not learnt from; a null id counts as an empty one."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_licenses": op7_licenses,
     "op8_token_counts": op8_token_counts,
+    "op9_vector_search": op9_vector_search,
     "op10_quality": op10_quality,
 }
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, texts
+from .common import SLICE_ROWS, groups_of, slices, texts
 
 #: Stands before and after each text; no UTF-8 text holds this byte.
 EDGE = 0xFF
@@ -74,7 +74,7 @@ def count_grams(df: DataFrame, size: int, tags: int = 0) -> DataFrame:
             for i in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["key", "n"])
 
-        for b in batches:
+        for b in slices(batches, 4 * SLICE_ROWS):
             data = [t.encode() for t in texts(b)]
             tag = b.column(b.schema.get_field_index("tag")).to_numpy(zero_copy_only=False).astype(np.uint64) if tags else None
             for lo, hi in groups_of(data):

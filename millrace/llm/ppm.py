@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytegrams import EDGE, count_grams, framed
-from .common import drop_table, groups_of, text_column, texts, write_table
+from .common import SLICE_ROWS, drop_table, groups_of, slices, text_column, texts, write_table
 from .vocabulary import HOT_TERMS, count_terms, hot_bound, hot_terms
 
 ORDER = 4
@@ -260,9 +260,7 @@ def score(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 4 * SLICE_ROWS):
             data = [t.encode() for t in texts(b)]
             scores = np.zeros(len(data))
             for lo, hi in groups_of(data):

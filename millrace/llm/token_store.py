@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe
-from .common import binaries, input_bytes, map_batches, text_column, texts, tokenizer_path
+from .common import binaries, input_bytes, map_batches, slices, text_column, texts, tokenizer_path
 
 BLOCK_BYTES = 1 << 20
 #: Bytes of documents' ids, before compression, that the dictionary is trained on, and its size.
 TRAIN_DOCS, DICT_BYTES = 2000, 64 * 1024
 SHARD_BYTES = 32 << 20
+#: A file's row groups, which readers take one at a time.
+ROW_GROUP_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=4)
@@ -156,7 +158,7 @@ def write_store(
             return pa.RecordBatch.from_pydict(dict(zip(schema.fieldNames(), row)), schema=arrow)
 
         arrow = _arrow(schema)
-        for b in batches:
+        for b in slices(batches):
             for d, n_tokens, frame, s in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if held and (s != now or size + len(frame) > BLOCK_BYTES):
                     yield out()
@@ -167,7 +169,7 @@ def write_store(
         if held:
             yield out()
 
-    ordered.select("doc_id", "n_tokens", "frame", "shard").mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    ordered.select("doc_id", "n_tokens", "frame", "shard").mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "none").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/blocks")
     return path
 
 
@@ -212,7 +214,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True, doc_ids: l
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = _arrow(schema)
         back = _coder(dictionary, 3)[1]
-        for b in batches:
+        for b in slices(batches, 1):
             for s, have, ids, starts, counts, offsets, payload in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if have != sha:
                     raise ValueError(f"a block needs dictionary {have}, the store has {sha}")

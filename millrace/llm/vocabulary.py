@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Terms that are broadcast at most; a few MB.
 HOT_TERMS = 1 << 18
 
@@ -41,7 +43,7 @@ def count_terms(df: DataFrame, terms: Callable[[pa.RecordBatch], Iterator[list]]
                 yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([counts[k] for k in part], pa.int64())], names=["term", "n"])
             counts.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for ws in terms(b):
                 counts.update(ws)
                 if len(counts) > TASK_TERMS:

@@ -10,9 +10,17 @@ agree in a register with the probability Jaccard similarity of their weighted sh
 Jaccard similarity where all weights are equal.
 
 Candidates.  Registers are banded, BANDS times ROWS: pairs at the threshold of 0.8 share no band in
-3 of 10 million cases.  Texts with equal words are one node, whatever their number.  In a bucket of a
-band every node is compared with one centre; those that are not similar to it get another centre
-among themselves, and so on until none is left, so no pair list of a bucket is ever made.
+3 of 10 million cases.  Texts with equal words are one node, whatever their number.  A node of whose
+shingles more than a fifth stand in no other node that it meets cannot be similar to any, and leaves;
+pairs that cannot be similar, by their sizes, by such shingles of their own and by what they are known
+to have in common with one centre, are passed over.
+In a bucket every node is compared with one of them, the centre: the one that meets most others in
+all its buckets, as the original of a group of variants does.  Buckets whose nodes are in one class by
+then, through this bucket or any other, are done.  In those that are not, every node outside the
+bucket's largest class is compared with the nodes of other classes that it may be similar to: variants
+of one centre that have too little in common with it must share shingles that the centre lacks, and
+are found by those.  So no link between classes is lost, and no list of a bucket's pairs is made: a
+group of n variants of one text costs n comparisons.
 
 Verification.  A link is a pair whose sets of shingles have a Jaccard similarity of 0.8 or more,
 computed from the whole sets of 40-bit hashes.  Classes are the connected components of links.
@@ -107,7 +115,7 @@ def _signed(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
         for b in slices(batches, SLICE_ROWS):
             data = [t.encode() for t in texts(b)]
             hashes, sets, counts = [], [], []
-            for lo, hi in groups_of(data, most=2_000_000):
+            for lo, hi in groups_of(data):
                 doc, h, weight = shingles(words_of(data[lo:hi]), size)
                 hashes.append(band_hashes(prob_minhash(doc, h, weight, hi - lo, bands * rows), bands, rows))
                 packed = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes()
@@ -135,16 +143,9 @@ def _may_be_in(df: DataFrame, made: DataFrame) -> DataFrame:
     return joined.withColumn("may_be", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of threshold or more."""
-    bounds = sets.select("key", "n_shingles")
-    sized = (
-        pairs.join(bounds.withColumnsRenamed({"key": "a", "n_shingles": "na"}), "a")
-        .join(bounds.withColumnsRenamed({"key": "b", "n_shingles": "nb"}), "b")
-        .where(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9))
-        .select("a", "b")
-    )
-    both = sized.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, na, nb: their sizes, weight) with common, the number of shingles that both have."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     width = HASH_BITS // 8
 
     def unpack(raw: bytes) -> np.ndarray:
@@ -154,55 +155,126 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE_ROWS):
-            ok = []
+            common = []
             last, right = None, None
-            for sa, sb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for sa, sb in zip(b.column(5).to_pylist(), b.column(6).to_pylist()):
                 if sb != last:
                     last, right = sb, unpack(sb)
-                left = unpack(sa)
-                merged = np.sort(np.concatenate([left, right]))
-                common = int((merged[1:] == merged[:-1]).sum())
-                ok.append(common >= threshold * (len(left) + len(right) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                merged = np.sort(np.concatenate([unpack(sa), right]))
+                common.append(int((merged[1:] == merged[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(common, pa.int32())], names=["a", "b", "na", "nb", "weight", "common"])
+
+    return both.select("a", "b", "na", "nb", "weight", "sa", "sb").mapInArrow(work, "a binary, b binary, na int, nb int, weight long, common int")
+
+
+def _beyond(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """shingle and key of each node's (key, hub) shingles that its hub lacks."""
+    both = nodes.select("key", "hub").join(sets, "key").join(sets.select(F.col("key").alias("hub"), F.col("shingles").alias("others")), "hub").select("key", "shingles", "others")
+    width = HASH_BITS // 8
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE_ROWS):
+            at, out = [], []
+            for i, (mine, hub) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                left, right = ({raw[k : k + width] for k in range(0, len(raw), width)} for raw in (mine, hub))
+                fresh = left - right
+                out += fresh
+                at += [i] * len(fresh)
+            yield pa.RecordBatch.from_arrays([binaries(out), b.column(0).take(pa.array(at, pa.int64()))], names=["shingle", "key"])
+
+    return both.mapInArrow(work, "shingle binary, key binary")
+
+
+def _own(sets: DataFrame) -> DataFrame:
+    """node and own: how many of a node's shingles stand in no other node.  node is a hash of the key."""
+    width = HASH_BITS // 8
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE_ROWS):
+            raw = b.column(1).to_pylist()
+            flat = np.zeros((sum(map(len, raw)) // width, 8), np.uint8)
+            flat[:, :width] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(r) // width for r in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64).ravel()), pa.array(node)], names=["shingle", "node"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary")
+    each = sets.select(F.xxhash64("key").alias("node"), "shingles").mapInArrow(spread, "shingle long, node long")
+    once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return once.groupBy("node").agg(F.count("*").alias("own"))
 
 
-def links(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
-    """Verified links a, b between keys, and the tables that hold them."""
+def linked(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
+    """key and label of every key that is linked to another one, and the tables that hold them."""
     spark = signed.sparkSession
-    placed = signed.where("key is not null").select(F.explode("bands").alias("bucket"), "key").distinct()
-    centres = placed.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    held: list[str] = []
-    temporary: list[str] = []
-    open_, path = write_table(placed.join(centres, "bucket").where("key <> centre"), "candidates")
-    temporary.append(path)
-    needed = open_.select("key").union(open_.select(F.col("centre").alias("key")))
-    # later centres are keys of the first candidates, so these sets are all that are compared
-    chosen = _may_be_in(signed.select("key", "n_shingles", "shingles"), _filter_of(needed)).where("may_be").select("key", "n_shingles", "shingles")
-    sets, path = write_table(chosen.dropDuplicates(["key"]), "sets", codec="lz4")
-    temporary.append(path)
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
-    while not open_.isEmpty():
-        pairs = open_.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        good, path = write_table(_similar(pairs, sets, threshold), "links")
-        held.append(path)
-        found = good if found is None else found.union(good)
-        now = open_.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
-        tried = now if tried is None else tried.union(now)
-        # those that are not like their bucket's centre are left with one another
-        left = open_.join(found.select(F.col("a").alias("key"), F.col("b").alias("centre")), ["key", "centre"], "left_anti").select("bucket", "key")
-        again = left.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-        open_, path = write_table(left.join(again, "bucket").where("key <> centre"), "candidates")
-        temporary.append(path)
-    if found is None:
-        found = spark.createDataFrame([], "a binary, b binary")
-    out, path = write_table(found.distinct(), "links")
-    drop_table(spark, *temporary, *held)
-    return out, [path]
+    placed = signed.where("key is not null").select(F.explode("bands").alias("bucket"), "key", "n_shingles").distinct()
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met, met_path = write_table(placed.join(shared, "bucket"), "members")
+    chosen = _may_be_in(signed.select("key", "shingles"), _filter_of(met.select("key"))).where("may_be")
+    sets, sets_path = write_table(chosen.select("key", "shingles").dropDuplicates(["key"]), "sets", codec="lz4")
+    # nodes that cannot be similar to any other leave; the rest get the number of nodes that they meet
+    own = _own(sets)
+    stay = met.join(own.withColumnRenamed("node", "_node"), F.xxhash64("key") == F.col("_node"), "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    stay, stay_path = write_table(stay.where(F.col("own") <= F.col("n_shingles") * (1 - threshold) + 1e-9).select("bucket", "key", "n_shingles", (F.col("n_shingles") - F.col("own")).alias("most")), "members")
+    sizes = stay.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    still = stay.join(sizes, "bucket")
+    degree = still.groupBy("key").agg(F.sum("n").alias("degree"))
+    # each node with its size, the most it can have in common with others, a centre that it was compared
+    # with and what they have in common, and its class; a node's own key is its class until it has a link
+    columns = ["bucket", "key", "n_shingles", "most", "degree", "hub", "inter", "label"]
+    begun = still.select("bucket", "key", "n_shingles", "most").join(degree, "key").withColumns({"hub": F.col("key"), "inter": F.col("n_shingles"), "label": F.col("key")})
+    members, members_path = write_table(begun.select(*columns), "members")
+    drop_table(spark, met_path, stay_path)
+
+    def enough(common: F.Column, n: F.Column, m: F.Column) -> F.Column:
+        """Whether sets of n and m with so much in common are similar."""
+        return common * (1 + threshold) >= (n + m) * (threshold - 1e-9)
+
+    compared: list[str] = []
+
+    by_hub = F.least("inter", "c_inter") + F.least(F.col("most") - F.col("inter"), F.col("c_most") - F.col("c_inter"))
+    bound = F.least("most", "c_most", F.when(F.col("hub") == F.col("c_hub"), by_hub))
+    may_be_similar = (F.col("label") != F.col("c_label")) & enough(bound, F.col("n_shingles"), F.col("c_n_shingles"))
+    # same-hub pairs that are not similar by what they share with the hub alone
+    beyond_hub = (F.col("hub") == F.col("c_hub")) & ~enough(F.least("inter", "c_inter"), F.col("n_shingles"), F.col("c_n_shingles"))
+
+    def renamed(nodes: DataFrame, on: str) -> DataFrame:
+        return nodes.select(on, *[F.col(c).alias(f"c_{c}") for c in columns if c != "bucket"])
+
+    def compare(near: DataFrame, first: bool) -> DataFrame:
+        """Compare pairs of key and c_key; later, a pair may come both ways round."""
+        swap = (F.col("key") > F.col("c_key")) & F.lit(not first)
+        sides = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("a", "key", "c_key"), ("b", "c_key", "key"), ("na", "n_shingles", "c_n_shingles"), ("nb", "c_n_shingles", "n_shingles"))]
+        weight = F.col("c_degree") if first else F.lit(0).cast("long")
+        counted, path = write_table(_common(near.select(*sides, weight.alias("weight")).distinct(), sets), "compared")
+        compared.append(path)
+        return counted
+
+    def classes() -> tuple[DataFrame, list[str]]:
+        made = spark.read.schema("a binary, b binary, na int, nb int, weight long, common int").parquet(*compared)
+        return components(made.where(enough(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"))
+
+    top = members.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), *columns[1:])).alias("c"))
+    tops = renamed(top.select("bucket", *[F.col(f"c.{c}").alias(c) for c in columns[1:]]), "bucket")
+    counted = compare(members.join(tops, "bucket").where(may_be_similar), True)
+    label, label_paths = classes()
+    # of a node's centres the one that meets most nodes is the one that it has in common with most of them
+    hubs = counted.groupBy("a").agg(F.max(F.struct("weight", "b", "common")).alias("h")).select(F.col("a").alias("key"), F.col("h.b").alias("new_hub"), F.col("h.common").alias("new_inter"))
+    now = members.drop("label", "hub", "inter").join(label, "key", "left").join(hubs, "key", "left")
+    now = now.withColumns({"label": F.coalesce("label", "key"), "hub": F.coalesce("new_hub", "key"), "inter": F.coalesce("new_inter", "n_shingles")})
+    now, now_path = write_table(now.select(*columns), "members")
+    of_class = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = of_class.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.col("m.label").alias("largest"))
+    drop_table(spark, members_path)
+    members, open_path = write_table(now.join(largest, "bucket"), "members")
+    minority = members.where("label <> largest")
+    # variants of one hub meet by shingles that it lacks, others in their buckets
+    tokens, tokens_path = write_table(_beyond(members.select("key", "hub").distinct(), sets), "beyond")
+    met = tokens.join(members.select(*columns[1:]).distinct(), "key").join(renamed(tokens.join(minority.select(*columns[1:]).distinct(), "key"), "shingle"), "shingle").where(may_be_similar & beyond_hub)
+    compare(met, False)
+    compare(members.join(renamed(minority, "bucket"), "bucket").where(may_be_similar & ~beyond_hub), False)
+    drop_table(spark, *label_paths)
+    label, label_paths = classes()
+    drop_table(spark, sets_path, now_path, open_path, tokens_path, *compared)
+    return label, label_paths
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -246,10 +318,9 @@ def _classes(df: DataFrame, doc_id: str, text: str, size: int, threshold: float,
     """Rows (doc_id, key, n_shingles) and key, label of those keys that are linked to others; and tables to drop."""
     spark = df.sparkSession
     signed, signed_path = write_table(_signed(df, text_column(df, doc_id), text_column(df, text), size, bands, rows), "signatures")
-    edges, edge_paths = links(signed, threshold)
-    label, label_paths = components(edges)
+    label, label_paths = linked(signed, threshold)
     narrow, narrow_path = write_table(signed.select("doc_id", "key", "n_shingles"), "keys")
-    drop_table(spark, signed_path, *edge_paths)
+    drop_table(spark, signed_path)
     return narrow, label, [narrow_path, *label_paths]
 
 

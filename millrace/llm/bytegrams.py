@@ -15,7 +15,7 @@ from .common import SLICE_ROWS, groups_of, slices, texts
 EDGE = 0xFF
 
 #: Distinct keys that a task holds before it passes its counts on.
-TASK_KEYS = 1_500_000
+TASK_KEYS = 800_000
 
 
 def framed(data: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 LOCAL_SHARED = "/tmp/checkpoints/millrace"
 
 #: Texts are worked on in groups of about so many bytes, so that memory does not follow batch size.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import keeps
+
 #: Letters among the plain characters below.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įĲ-ɏ"
 
@@ -91,3 +93,6 @@ class ByteBpe:
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
+
+
+keeps("byte_bpe", byte_bpe.cache_clear)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -149,6 +151,31 @@ def gaps(values: list) -> list[int]:
         return out
 
 
+#: How to drop what a Python worker keeps for each operator, and the operator that the worker serves.
+_kept: dict[str, Callable[[], None]] = {}
+_serves: list[str] = [""]
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    """Say how to drop a worker's models or vocabularies of one operator."""
+    _kept[operator] = drop
+
+
+def serve(operator: str) -> None:
+    """Called by a worker's functions: what other operators have left in the worker is dropped when it changes hands."""
+    if _serves[0] == operator:
+        return
+    _serves[0] = operator
+    for name, drop in _kept.items():
+        if name != operator:
+            drop()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Memo:
     """A bounded memo of two generations: when the young one is full it becomes the old one, which goes.
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, binaries, drop_table, groups_of, mix64, slices, text_column, texts, write_table
+from .common import SLICE_ROWS, binaries, drop_table, groups_of, mix64, serve, slices, text_column, texts, write_table
 from .wordvec import Words, windows, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -112,6 +112,7 @@ def _signed(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("near_duplicates")
         for b in slices(batches, SLICE_ROWS):
             data = [t.encode() for t in texts(b)]
             hashes, sets, counts = [], [], []
@@ -386,6 +387,7 @@ def keep_first(
     where = inner.index(body)
 
     def add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("near_duplicates")
         for b in slices(batches):
             data = [(t or "").encode() for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, binaries(content_keys(data))], names=schema.fieldNames())

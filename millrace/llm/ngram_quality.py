@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytegrams import count_grams, framed, gram_keys
-from .common import SLICE_ROWS, column_name, drop_table, groups_of, mix64, slices, text_column, texts, write_table
+from .common import SLICE_ROWS, column_name, drop_table, groups_of, keeps, mix64, serve, slices, text_column, texts, write_table
 from .wordvec import SPACE, Words, span_hashes, sum_by, windows, words_of
 
 ORDER = 5
@@ -289,6 +289,9 @@ def _built(model: _Model) -> KneserNey:
     return KneserNey(model.broadcast.value, model.order)
 
 
+keeps("ngram_quality", _built.cache_clear)
+
+
 # --- operator --------------------------------------------------------------------------------------
 
 
@@ -323,6 +326,7 @@ def measure(tagged: DataFrame, body: str, tag: str, model: _Model, keep: list[st
     schema = T.StructType(kept.schema.fields + [T.StructField(n, k) for n, k in zip(names, kinds)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("ngram_quality")
         for b in slices(batches, 2 * SLICE_ROWS):
             data = [t.encode() for t in texts(b, body)]
             tags = b.column(len(keep) + 1).to_numpy(zero_copy_only=False)

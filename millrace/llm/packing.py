@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe
-from .common import drop_table, map_batches, slices, text_column, texts, tokenizer_path, write_table
+from .common import drop_table, map_batches, serve, slices, text_column, texts, tokenizer_path, write_table
 
 
 def _complement(counts: np.ndarray, length: int, gap: int) -> tuple[int, ...] | None:
@@ -177,6 +177,7 @@ def cut_pieces(df: DataFrame, capacity: int, tokenizer: str, end_id: int, doc_id
     schema = T.StructType(fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("byte_bpe")
         for b in slices(batches):
             bpe = byte_bpe(tokenizer_path(tokenizer))
             doc, piece, start, length, crc, ids = [], [], [], [], [], []

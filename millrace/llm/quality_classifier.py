@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_name, groups_of, mix64, map_batches, text_column, texts
+from .common import column_name, groups_of, mix64, map_batches, serve, text_column, texts
 from .wordvec import SPACE, span_hashes
 
 BUCKETS = 1 << 18
@@ -153,6 +153,7 @@ def classify(
     body = column_name(kept, "text_")
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        serve("quality_classifier")
         p = scores(shared.value, [t.encode() for t in texts(b, body)])
         columns = [b.column(i) for i in range(len(keep))]
         if only:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, column_name, gaps, groups_of, map_batches, text_column, texts, tokenizer_path
+from .common import Memo, column_name, gaps, groups_of, keeps, map_batches, serve, text_column, texts, tokenizer_path
 
 MARK = "▁"
 
@@ -245,6 +245,9 @@ def codec(path: str) -> SentencePieceBpe:
     return SentencePieceBpe(path)
 
 
+keeps("sentencepiece", codec.cache_clear)
+
+
 def encode_decode(
     df: DataFrame,
     model: str = "piece_bpe_32k.model",
@@ -271,6 +274,7 @@ def encode_decode(
     names = out.fieldNames()
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        serve("sentencepiece")
         c = codec(tokenizer_path(model))
         bos, eos = (np.array([x], "<u4").tobytes() for x in (c.bos, c.eos))
         rows: list[tuple] = []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import LETTERS, ODD
-from .common import drop_table, map_batches, text_column, texts, tokenizer_path, write_table
+from .common import drop_table, keeps, map_batches, text_column, texts, tokenizer_path, write_table
 from .vocabulary import HOT_TERMS, count_terms, hot_bound, hot_terms
 
 #: What the word vocabulary's Split pattern takes from a plain text in lower case.
@@ -89,6 +89,9 @@ def pre_tokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
+keeps("token_counts", pre_tokens.cache_clear)
+
+
 def distinct_pieces(df: DataFrame, tokenizer: str) -> DataFrame:
     """term, n (its frequency in the corpus) and pieces of each distinct pre-token of df's column `text`."""
 

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, groups_of, slices, texts
+from .common import SLICE_ROWS, groups_of, serve, slices, texts
 
 #: Stands before and after each text; no UTF-8 text holds this byte.
 EDGE = 0xFF
 
 #: Distinct keys that a task holds before it passes its counts on.
-TASK_KEYS = 800_000
+TASK_KEYS = 500_000
 
 
 def framed(data: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +62,7 @@ def count_grams(df: DataFrame, size: int, tags: int = 0) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("counting")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
 

@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytegrams import EDGE, count_grams, framed
-from .common import SLICE_ROWS, drop_table, groups_of, slices, text_column, texts, write_table
+from .common import SLICE_ROWS, drop_table, groups_of, keeps, serve, slices, text_column, texts, write_table
 from .vocabulary import HOT_TERMS, count_terms, hot_bound, hot_terms
 
-ORDER = 4
+ORDER = 5
 #: Contexts in a model at most.  With more, contexts seen less often than a bound are left out, the
 #: bound being the least for which the number fits.  The model is a capacity; every text is counted.
-MAX_CONTEXTS = 80_000
+MAX_CONTEXTS = 100_000
 SEGMENT = 256
 
 
@@ -130,6 +130,9 @@ def _automaton(name: str, holder: "_Held") -> Automaton:
     return Automaton(holder.value)
 
 
+keeps("ppm", lambda: _automaton.cache_clear())
+
+
 class _Held:
     """A broadcast with a name of its own, so that a worker unrolls each model once."""
 
@@ -259,6 +262,7 @@ def score(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("ppm")
         get = known.value.get
         for b in slices(batches, 4 * SLICE_ROWS):
             data = [t.encode() for t in texts(b)]

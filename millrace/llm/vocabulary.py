@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import serve, slices
 
 #: Terms that are broadcast at most; a few MB.
 HOT_TERMS = 1 << 18
@@ -34,6 +34,7 @@ def count_terms(df: DataFrame, terms: Callable[[pa.RecordBatch], Iterator[list]]
     kind = pa.binary() if binary else pa.string()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("counting")
         counts: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:

@@ -7,11 +7,16 @@ c times has probability c / (n + d), and d / (n + d) is the escape to the next s
 before.  Below the empty context all bytes not yet excluded are equally likely.  The end of a text is
 a symbol too, so probabilities of all texts sum to 1.
 
-Pretrained, the counts are those of the training texts, gathered by Spark as n-gram counts.  As no
-count changes while scoring, the trie is unrolled once per worker into an automaton: a row for each
-context with the code length and the next context of each symbol, escapes and exclusions included.
-Texts are cut into segments, each preceded by the context it needs, and all segments step through
-the automaton side by side.  Adaptive, the trie starts empty and learns from the text itself.
+Pretrained, the counts are those of the training texts, gathered by Spark as n-gram counts, and every
+counted context is in the model.  As no count changes while scoring, a symbol's code length depends on
+the `order` bytes before it and itself only: it is worked out once for each distinct gram of order + 1
+bytes that stands in any text, escapes and exclusions included, by joins with the grams one byte
+shorter.  The most frequent grams' code lengths are broadcast and looked up where the texts are read;
+the others, each of them rare, are joined.  So the model grows with the corpus, and no task or driver
+holds it.  With max_contexts a bounded trie is unrolled once per worker into an automaton instead: a row
+for each context with the code length and the next context of each symbol.  Texts are cut into
+segments, each preceded by the context it needs, and all segments step through it side by side.
+Adaptive, the trie starts empty and learns from the text itself.
 
 A word model stands beside it: for each word, and an end, log10 of an add-one estimate from the
 training texts' word counts.
@@ -27,18 +32,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytegrams import EDGE, count_grams, framed
+from .bytegrams import EDGE, count_grams, framed, gram_keys
 from .common import SLICE_ROWS, drop_table, groups_of, keeps, serve, slices, text_column, texts, write_table
 from .vocabulary import HOT_TERMS, count_terms, hot_bound, hot_terms
 
 ORDER = 5
-#: Contexts in a model at most.  With more, contexts seen less often than a bound are left out, the
-#: bound being the least for which the number fits.  The model is a capacity; every text is counted.
-MAX_CONTEXTS = 100_000
+#: Grams whose code lengths are broadcast at most, 12 MB; those of the others are joined.
+HOT_GRAMS = 1 << 20
 SEGMENT = 256
 
 
@@ -150,8 +154,12 @@ class _Held:
         return self.broadcast.value
 
 
-def train(df: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of contexts and symbols of df's column text, for Automaton; bounded by max_contexts."""
+def train(df: DataFrame, order: int, max_contexts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of contexts and symbols of df's column text, for Automaton.
+
+    With more than max_contexts contexts, those seen less often than a bound are left out, the bound being
+    the least for which the number fits.
+    """
     spark = df.sparkSession
     grams, path = write_table(count_grams(df, order + 1), "grams")
     by_order = {k: (grams if k == order else grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))) for k in range(order + 1)}
@@ -178,6 +186,80 @@ def train(df: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -
     return out
 
 
+def gram_costs(df: DataFrame, order: int = ORDER) -> tuple[DataFrame, str]:
+    """key, n and cost of each gram of order + 1 bytes in df's texts, and the path of the table that holds them.
+
+    df has text and tag, 1 for texts that are learnt from and else 0.  n is how often the gram stands in all
+    texts, cost the code length of its last byte after the others, in decimal digits.
+    """
+
+    def suffix(size: int) -> F.Column:
+        return F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+    tag = F.shiftrightunsigned("key", 8 * (order + 1))
+    counted = count_grams(df, order + 1, tags=2).groupBy(suffix(order + 1).alias("key")).agg(F.sum("n").alias("n"), F.sum(F.when(tag == 1, F.col("n")).otherwise(0)).alias("seen"))
+    grams, paths = {}, []
+    for size in range(order + 1, 0, -1):
+        grams[size], path = write_table(counted, "grams")
+        paths.append(path)
+        counted = grams[size].groupBy(suffix(size - 1).alias("key")).agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    # of each gram's context how often it was seen and with how many symbols; 256 rows a context at most
+    context = Window.partitionBy(F.shiftrightunsigned("key", 8))
+    stats = {"total": F.sum("seen").over(context), "distinct": F.count_if(F.col("seen") > 0).over(context)}
+    whole = F.col("total") + F.col("distinct")
+
+    def coded(seen: str, whole: F.Column, distinct: F.Column, shorter: F.Column) -> F.Column:
+        """The code length in a context, or of an escape from it and then in the shorter one; one with nothing left costs nothing."""
+        return F.when(F.col(seen) > 0, F.log10(whole) - F.log10(seen)).when(distinct > 0, F.log10(whole / distinct) + shorter).otherwise(shorter)
+
+    # beyond: the code length after an escape from the gram's context, whose symbols are excluded from then on
+    made = grams[1].withColumns(stats).withColumn("beyond", F.log10(F.greatest(256 - F.col("distinct"), F.lit(1))))
+    made = made.withColumn("cost", coded("seen", whole, F.col("distinct"), F.col("beyond")))
+    for size in range(2, order + 2):
+        below = made.select(F.col("key").alias("below"), *[F.col(c).alias(f"b_{c}") for c in ("seen", "total", "distinct", "beyond", "cost")])
+        made = grams[size].join(below, suffix(size - 1) == F.col("below")).withColumns(stats | {"taken": F.sum(F.when(F.col("seen") > 0, F.col("b_seen")).otherwise(0)).over(context)})
+        left = F.col("b_distinct") - F.col("distinct")  # the context's symbols are symbols of the shorter one too
+        made = made.withColumn("beyond", coded("b_seen", F.col("b_total") - F.col("taken") + left, left, F.col("b_beyond")))
+        # a context that was never seen is none of the model's
+        made = made.withColumn("cost", F.when(F.col("distinct") > 0, coded("seen", whole, F.col("distinct"), F.col("beyond"))).otherwise(F.col("b_cost")))
+    costs, path = write_table(made.select("key", "n", "cost"), "gram_costs")
+    drop_table(df.sparkSession, *paths)
+    return costs, path
+
+
+class GramCosts:
+    """Code lengths of the most frequent grams: sorted keys and a code length for each."""
+
+    def __init__(self, keys: np.ndarray, cost: np.ndarray, order: int):
+        by = np.argsort(keys)
+        self.keys, self.cost, self.order = keys[by], cost[by].astype(np.float32), order
+
+    def code_lengths(self, data: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """Of each text and its end the code length by these grams, and the other grams with how often they stand in it."""
+        size = self.order + 1
+        buf, starts = framed(data, self.order)
+        grams = gram_keys(buf, size).view(np.int64)
+        doc = np.repeat(np.arange(len(data)), np.diff(starts))[: len(grams)]
+        # the last places of each text but the last begin grams that run into the next text
+        ok = np.ones(len(grams), bool)
+        for j in range(1, size):
+            ok[starts[1:-1] - j] = False
+        doc, (grams, which) = doc[ok], np.unique(grams[ok], return_inverse=True)
+        at = np.searchsorted(self.keys, grams)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == grams[hit]
+        cost = np.zeros(len(grams))
+        cost[hit] = self.cost[at[hit]]
+        total = np.bincount(doc, cost[which], len(data))
+        rest: list[list[tuple[int, int]]] = [[] for _ in data]
+        cold = np.flatnonzero(~hit[which])
+        if len(cold):
+            pairs, n = np.unique(doc[cold] * np.int64(len(grams)) + which[cold], return_counts=True)
+            for d, g, k in zip((pairs // len(grams)).tolist(), grams[pairs % len(grams)].tolist(), n.tolist()):
+                rest[d].append((g, k))
+        return total, rest
+
+
 def adaptive_code_length(data: bytes, order: int = ORDER, counts: dict | None = None, learn: bool = True) -> float:
     """Code length of one text and its end by a trie that learns as it goes (or by given counts).
 
@@ -221,9 +303,10 @@ def score(
     text: str = "text",
     learn_from: "F.Column | None" = None,
     order: int = ORDER,
-    max_contexts: int = MAX_CONTEXTS,
+    max_contexts: int | None = None,
     adaptive: bool = False,
     hot: int = HOT_TERMS,
+    hot_grams: int = HOT_GRAMS,
 ) -> DataFrame:
     """Score every text of df by models learnt from those rows for which learn_from (all, if None) is true.
 
@@ -231,7 +314,8 @@ def score(
     training texts have), train_tokens, base_score (log10 by the word model), score (log10 by PPM), n_bytes.
     A null or empty text is the end alone; null and repeated ids are kept, each row scored for itself;
     a null learn_from counts as false.  Without training texts every symbol is as likely as another.
-    Other columns are left out, and an empty table gives no rows.
+    Other columns are left out, and an empty table gives no rows.  Every counted context is in the model
+    unless max_contexts is given; hot and hot_grams only say how much of it is broadcast.
     """
     spark = df.sparkSession
     learn = F.coalesce(learn_from, F.lit(False)) if learn_from is not None else F.lit(True)
@@ -245,7 +329,14 @@ def score(
     whole = float(n_all + n_distinct + 1)
     bound = hot_bound(words, hot)
     known = spark.sparkContext.broadcast({w: (math.log10((n + 1) / whole)) for w, n in hot_terms(words, "n", bound).items()})  # `hot` terms at most
-    model = None if adaptive else _Held(spark.sparkContext.broadcast(train(train_rows, order, max_contexts)))
+    model = costs = costs_path = None
+    if not adaptive and max_contexts is not None:
+        model = _Held(spark.sparkContext.broadcast(train(train_rows, order, max_contexts)))
+    elif not adaptive:
+        costs, costs_path = gram_costs(rows.select("text", F.col("learn").cast("int").alias("tag")), order)
+        gram_bound = hot_bound(costs, hot_grams)
+        found = costs.where(F.col("n") >= gram_bound).select("key", "cost").toArrow()  # `hot_grams` at most
+        common = spark.sparkContext.broadcast(GramCosts(found.column(0).to_numpy(), found.column(1).to_numpy(), order))
     end_score, unseen = math.log10((n_ends + 1) / whole), math.log10(1 / whole)
     schema = T.StructType(
         [
@@ -258,17 +349,25 @@ def score(
             T.StructField("hot_score", T.DoubleType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("rest", T.MapType(T.BinaryType(), T.IntegerType())),
+            T.StructField("rest_grams", T.MapType(T.LongType(), T.IntegerType())),
         ]
     )
 
+    whole_model = costs is not None  # a frame cannot go to the workers
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve("ppm")
         get = known.value.get
         for b in slices(batches, 4 * SLICE_ROWS):
             data = [t.encode() for t in texts(b)]
-            scores = np.zeros(len(data))
+            scores, rest_grams = np.zeros(len(data)), []
             for lo, hi in groups_of(data):
-                scores[lo:hi] = [adaptive_code_length(d, order) for d in data[lo:hi]] if model is None else _automaton(model.id, model).code_lengths(data[lo:hi])
+                if whole_model:
+                    scores[lo:hi], others = common.value.code_lengths(data[lo:hi])
+                    rest_grams += others
+                else:
+                    scores[lo:hi] = [adaptive_code_length(d, order) for d in data[lo:hi]] if model is None else _automaton(model.id, model).code_lengths(data[lo:hi])
+                    rest_grams += [[]] * (hi - lo)
             n_tokens, hot_known, hot_score, rest = [], [], [], []
             for d in data:
                 ws = d.lower().split()
@@ -282,6 +381,7 @@ def score(
                 [
                     b.column(0), b.column(1), b.column(3), pa.array(n_tokens, pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array(hot_known, pa.int64()),
                     pa.array(hot_score, pa.float64()), pa.array(-scores), pa.array(rest, pa.map_(pa.binary(), pa.int32())),
+                    pa.array(rest_grams, pa.map_(pa.int64(), pa.int32())),
                 ],
                 names=schema.fieldNames(),
             )
@@ -294,9 +394,12 @@ def score(
         .groupBy("row")
         .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("cold_known"), F.sum(F.col("k") * each).alias("cold_score"))
     )
+    out = docs.drop("rest", "rest_grams").join(sums, "row", "left").withColumn("cold_cost", F.lit(0.0))
+    if costs is not None:
+        others = docs.select("row", F.explode("rest_grams").alias("key", "k")).join(costs.where(F.col("n") < gram_bound), "key")
+        out = out.drop("cold_cost").join(others.groupBy("row").agg(F.sum(F.col("k") * F.col("cost")).alias("cold_cost")), "row", "left")
     out, _ = write_table(
-        docs.drop("rest")
-        .join(sums, "row", "left")
+        out
         .select(
             "doc_id",
             "held_out",
@@ -304,10 +407,10 @@ def score(
             (F.col("hot_known") + F.coalesce("cold_known", F.lit(0).cast("long"))).alias("n_known"),
             F.lit(n_all).cast("long").alias("train_tokens"),
             (F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("score") - F.coalesce("cold_cost", F.lit(0.0))).alias("score"),
             "n_bytes",
         ),
         "lm_scores",
     )
-    drop_table(spark, words_path, docs_path)
+    drop_table(spark, words_path, docs_path, *([costs_path] if costs_path else []))
     return out

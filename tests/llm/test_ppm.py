@@ -104,3 +104,17 @@ def test_bounded_model_and_adaptive(documents):
     some = documents.where("n_chars < 400").limit(5)
     rows = {r["doc_id"]: r["score"] for r in ppm.score(some, adaptive=True).collect()}
     assert rows == {d: -ppm.adaptive_code_length(t.encode()) for d, t in some.select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("hot_grams", [0, 3000, 1 << 20])
+def test_every_counted_context_is_in_the_model(spark, hot_grams):
+    # more contexts than the 100,000 that the model was once bounded by
+    r = np.random.default_rng(3)
+    rows = [(i, bytes(r.choice(list(b"abcdefghijklmnop "), 30_000).tolist()).decode()) for i in range(6)] + [(6, "abc"), (7, "unseen ZZ bytes é"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ppm.score(df, learn_from=F.col("doc_id") % 3 != 1, hot_grams=hot_grams).collect()}
+    trained = trie([(t or "").encode() for i, t in rows if i % 3 != 1], 5)
+    assert len(trained) > 150_000
+    want = {i: -ppm.adaptive_code_length((t or "").encode(), 5, trained, learn=False) for i, t in rows}
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[i] for i in want], list(want.values()), rtol=1e-5)

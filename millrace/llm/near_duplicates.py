@@ -6,11 +6,12 @@ four words is one shingle.  A shingle's weight is its number of places in the te
 Signature.  ProbMinHash: each shingle sends arrivals, a Poisson process with its weight as the rate
 and the shingle's hash as the seed, to uniformly drawn registers; a register keeps the shingle that
 arrives first.  A process ends once its time is beyond the latest of the text's registers.  Two texts
-agree in a register with the probability Jaccard similarity of their weighted shingles, which is the
-Jaccard similarity where all weights are equal.
+agree in a register with the probability Jaccard similarity of their weighted shingles.  All shingles
+are signed with weight 1, for which that is the Jaccard similarity of their sets, as links are defined:
+how often a passage repeats cannot keep a link's texts apart.
 
 Candidates.  Registers are banded, BANDS times ROWS: pairs at the threshold of 0.8 share no band in
-3 of 10 million cases.  Texts with equal words are one node, whatever their number.  A node of whose
+3 of a million cases.  Texts with equal words are one node, whatever their number.  A node of whose
 shingles more than a fifth stand in no other node that it meets cannot be similar to any, and leaves;
 pairs that cannot be similar, by their sizes, by such shingles of their own and by what they are known
 to have in common with one centre, are passed over.
@@ -117,8 +118,8 @@ def _signed(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
             data = [t.encode() for t in texts(b)]
             hashes, sets, counts = [], [], []
             for lo, hi in groups_of(data):
-                doc, h, weight = shingles(words_of(data[lo:hi]), size)
-                hashes.append(band_hashes(prob_minhash(doc, h, weight, hi - lo, bands * rows), bands, rows))
+                doc, h, _ = shingles(words_of(data[lo:hi]), size)
+                hashes.append(band_hashes(prob_minhash(doc, h, np.ones(len(h), np.int64), hi - lo, bands * rows), bands, rows))
                 packed = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes()
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1)) * (HASH_BITS // 8)
                 sets += [packed[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist())]

@@ -132,3 +132,15 @@ def test_components_of_paths_and_stars(spark):
     back = {v: k for k, v in names.items()}
     groups = partition((back[bytes(r["key"])], bytes(r["label"])) for r in label.collect())
     assert groups == [list(range(41)), list(range(100, 160)), [200, 201]]
+
+
+def test_repetitions_do_not_part_links(spark):
+    # each pair has nearly equal sets of shingles, of which the second text repeats some 40 times
+    rows = []
+    for i in range(30):
+        whole = [f"w{i}x{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(whole)), (2 * i + 1, " ".join(whole + whole[:24] * 40))]
+    got = {r["doc_id"]: r["class_id"] for r in nd.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(len(x & y) >= 0.8 * len(x | y) for x, y in zip(sets[::2], sets[1::2]))
+    assert got == {d: d - d % 2 for d, _ in rows}

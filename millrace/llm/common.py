@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,12 @@ CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else one for a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/millrace"
 
 
@@ -42,6 +47,22 @@ def write_table(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFram
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Tables that hold results which operators have returned, by application.
+_results: dict[str, list[str]] = {}
+
+
+def write_result(df: DataFrame, what: str) -> DataFrame:
+    """write_table for a table that what an operator returns is read from: it stays until drop_results is called."""
+    out, path = write_table(df, what)
+    _results.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return out
+
+
+def drop_results(spark: SparkSession) -> None:
+    """Delete the tables behind all that operators have returned to this application so far; call it once that is used."""
+    drop_table(spark, *_results.pop(spark.sparkContext.applicationId, []))
+
+
 def drop_table(spark: SparkSession, *paths: str) -> None:
     """Delete tables that write_table made."""
     jvm = spark.sparkContext._jvm
@@ -70,11 +91,8 @@ def text_column(df: DataFrame, name: str) -> str:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of df as the optimizer's statistics have them; 0 if unknown."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:  # statistics are a hint only
-        return 0
+    """Bytes of df as the optimizer's statistics have them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytegrams import EDGE, count_grams, framed, gram_keys
-from .common import SLICE_ROWS, drop_table, groups_of, keeps, serve, slices, text_column, texts, write_table
+from .common import SLICE_ROWS, drop_table, groups_of, keeps, serve, slices, text_column, texts, write_result, write_table
 from .vocabulary import HOT_TERMS, count_terms, hot_bound, hot_terms
 
 ORDER = 5
@@ -169,7 +169,7 @@ def train(df: DataFrame, order: int, max_contexts: int) -> list[tuple[np.ndarray
     for k, g in by_order.items():
         step = g.groupBy(context.alias("c")).agg(F.sum("n").alias("n")).select(F.floor(F.log2("n") * 8).cast("int").alias("step"), "n").groupBy("step").agg(F.count("*").alias("contexts"), F.min("n").alias("least"))
         sizes = step if sizes is None else sizes.union(step)
-    bound, total = 1, 0
+    bound, total = 1 << 62, 0
     for r in sizes.groupBy("step").agg(F.sum("contexts").alias("contexts"), F.min("least").alias("least")).orderBy(F.desc("step")).collect():
         total += r["contexts"]
         if total > max_contexts:
@@ -398,7 +398,7 @@ def score(
     if costs is not None:
         others = docs.select("row", F.explode("rest_grams").alias("key", "k")).join(costs.where(F.col("n") < gram_bound), "key")
         out = out.drop("cold_cost").join(others.groupBy("row").agg(F.sum(F.col("k") * F.col("cost")).alias("cold_cost")), "row", "left")
-    out, _ = write_table(
+    out = write_result(
         out
         .select(
             "doc_id",

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ from .wordvec import SPACE, span_hashes
 BUCKETS = 1 << 18
 #: Labelled rows that are learnt from at most, and how many examples are shown: each row 3 times at least.
 MAX_TRAIN, SHOWN = 6000, 18_000
+#: Bytes of text at most that are learnt from.
+MAX_TRAIN_BYTES = 64 << 20
 #: FTRL-proximal: rate, smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 
@@ -87,14 +89,20 @@ class Ftrl:
 
 
 def sample(df: DataFrame, labels: DataFrame, allowed, label: str, doc_id: str, text: str, max_train: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of a bounded sample of labelled rows for which allowed(doc_id column) is true."""
+    """Texts and labels of a bounded sample of labelled rows for which allowed(doc_id column) is true.
+
+    The sample has the max_train rows whose ids' hashes are smallest, as far as their texts together have
+    MAX_TRAIN_BYTES bytes at most.
+    """
     key, target = text_column(labels, doc_id), text_column(labels, label)
     known = labels.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{target}`").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & allowed(F.col("doc_id")))
     order = [F.xxhash64("doc_id"), "doc_id", "label"]
     chosen = known.orderBy(*order).limit(max_train)
     rows = df.select(F.col(f"`{text_column(df, doc_id)}`").alias("doc_id"), F.col(f"`{text_column(df, text)}`").alias("text"))
     # max_train rows at most are broadcast, and as many come back
-    found = rows.join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(max_train).select("text", "label").toArrow()
+    some = rows.join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(max_train)
+    upto = Window.orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    found = some.withColumn("bytes", F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(upto)).where(F.col("bytes") <= MAX_TRAIN_BYTES).select("text", "label").toArrow()
     return [(t or "").encode() for t in found.column(0).to_pylist()], np.array(found.column(1).to_pylist(), np.int64)
 
 

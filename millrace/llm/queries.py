@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, near_duplicates, ngram_quality, packing, ppm, quality_classifier, sentencepiece_codec, token_counts, token_store, vector_search
-from .common import crc32_of, drop_table, new_path, write_table
+from .common import crc32_of, drop_table, new_path, write_result
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_store(_documents(spark, sf_dir), new_path(spark, "store"), "byte_bpe_50k.json", end_id=0)
-    out, _ = write_table(token_store.read_store(spark, path, with_ids=False), "store_read")
+    out = write_result(token_store.read_store(spark, path, with_ids=False), "store_read")
     drop_table(spark, path)
     return out
 

@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,39 @@ NO_PAIR = np.iinfo(np.int32).max
 NO_PIECE = 1 << 21
 
 
+#: The number by which model files mark a piece that is matched before all merges; a fixed value of the format.
+USER_DEFINED = 4
+
+
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (raw[at] & 127) << shift
+        shift += 7
+        at += 1
+        if raw[at - 1] < 128:
+            return value, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer."""
+    at = 0
+    while at < len(raw):
+        key, at = _varint(raw, at)
+        if key & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+def piece_kinds(path: str) -> set[int]:
+    """Kinds of the pieces of a model file: field 3 of each field 1; 1, a plain piece, if it is left out."""
+    with open(path, "rb") as f:
+        return {dict(_fields(piece)).get(3, 1) for number, piece in _fields(f.read()) if number == 1}
+
+
 class SentencePieceBpe:
     """A merge-type vocabulary with its encoder and decoder."""
 
@@ -53,6 +87,8 @@ class SentencePieceBpe:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         if any(sp.is_unused(i) for i in plain):
             raise ValueError("vocabularies with unused pieces are not supported")
+        if USER_DEFINED in piece_kinds(path):
+            raise ValueError("vocabularies with user-defined symbols are not supported")
         if sp.encode("  a béﬁ ", out_type=str) and sp.decode(sp.encode(" a  ﬁ ")) != " a  ﬁ ":
             raise ValueError("vocabularies that normalise their text are not supported")
         self.merges = {names[i]: (-sp.get_score(i), i) for i in plain}

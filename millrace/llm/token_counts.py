@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import LETTERS, ODD
-from .common import drop_table, keeps, map_batches, text_column, texts, tokenizer_path, write_table
+from .common import drop_table, keeps, map_batches, text_column, texts, tokenizer_path, write_result, write_table
 from .vocabulary import HOT_TERMS, count_terms, hot_bound, hot_terms
 
 #: What the word vocabulary's Split pattern takes from a plain text in lower case.
@@ -158,7 +158,7 @@ def count_tokens(
     rare = vocabulary.where(F.col("n") < bound).select("term", "pieces")
     sums = cold.join(rare, "term").groupBy("row").agg(F.sum(F.col("k") * F.col("pieces")).alias("cold_tokens"))
     n_tokens = F.col("hot_tokens") + F.coalesce("cold_tokens", F.lit(0).cast("long"))
-    out, _ = write_table(
+    out = write_result(
         docs.select("row", "doc_id", "n_bytes", "n_pre_tokens", "hot_tokens")
         .join(sums, "row", "left")
         .select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), "n_pre_tokens", (n_tokens > limit).alias("over_limit")),

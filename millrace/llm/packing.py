@@ -1,11 +1,16 @@
 """Operator 6: packing of token sequences by exact complements, then best fit.
 
 Which lengths go together depends on how many pieces there are of each length, and nothing else, so
-the plan is made from a histogram of at most `capacity` counts.  Lengths are taken from the longest
-down.  What a piece leaves free is looked up among the sums of one, two and three lengths that are
-still available; a combination that fills the gap exactly is consumed as often as its counts allow.
-Pieces that find none are packed by best fit, longest first: each goes to the sequence with the
-smallest gap that holds it.
+the plan is made from a histogram of at most `capacity` counts.  Sums of one, two and three available
+lengths are indexed by their value.  From the longest length down, what a piece leaves free is looked
+up there, and a combination that fills it exactly is consumed as often as its counts allow.  What finds
+none is packed by best fit, longest first: each piece goes to the sequence with the smallest gap that
+holds it.
+
+Exact fills waste nothing, but may use up the short pieces that best fit needs at its end.  So some
+plans are made, which differ in how long a piece must be to be complemented and how short one may be
+to be part of a complement, and plain best fit is the last of them; the one with fewest sequences is
+taken.  Each needs no more than the histogram, so that they cost the same whatever the number of rows.
 
 Pieces then get their places by rank among those of equal length.  Ranks come from counts by length
 and a hash salt, so that a length that a third of all pieces have is ranked in many tasks.
@@ -15,7 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,74 +30,99 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe
-from .common import drop_table, map_batches, serve, slices, text_column, texts, tokenizer_path, write_table
+from .common import drop_table, map_batches, serve, slices, text_column, texts, tokenizer_path, write_result, write_table
 
 
-def _complement(counts: np.ndarray, length: int, gap: int) -> tuple[int, ...] | None:
-    """The available lengths, three at most and longest first, that sum to gap beside one piece of `length`.
+class SumIndex:
+    """Sums of one, two and three available lengths by their value.
 
-    The sums of one and of two available lengths are indexed by what they lack to the gap: one
-    look-up for a single, one pass over the first length for pairs, and for triples the pairs' index
-    of each remaining gap.  Among combinations of equal size the one with the longest first length wins.
+    pairs[s] holds the longer length of each pair with sum s, triples[s] the longest of each triple, in
+    ascending order.  Counts only go down, so what is found to be used up is dropped for good.
     """
-    free = counts[: gap + 1].copy()
-    if length <= gap:
-        free[length] -= 1
-    have = free > 0
-    if have[gap]:
-        return (gap,)
-
-    def pair(g: int, most: int) -> tuple[int, int] | None:
-        a = np.arange(min(g - 1, most), (g - 1) // 2, -1)
-        if not len(a):
-            return None
-        b = g - a
-        ok = have[a] & have[b] & ((a != b) | (free[a] > 1))
-        return (int(a[k := int(ok.argmax())]), int(b[k])) if ok.any() else None
-
-    if p := pair(gap, gap):
-        return p
-    for a in np.flatnonzero(have)[::-1].tolist():
-        if a < (gap + 2) // 3:
-            break
-        free[a] -= 1
-        have[a] = free[a] > 0
-        p = pair(gap - a, a)
-        free[a] += 1
-        have[a] = True
-        if p:
-            return (a, *p)
-    return None
 
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        capacity = len(counts) - 1
+        have = np.flatnonzero(counts)
+        self.pairs: dict[int, list[int]] = defaultdict(list)
+        self.triples: dict[int, list[int]] = defaultdict(list)
+        shortest = np.full(capacity + 1, capacity + 1)  # of each sum, the least longer length of a pair
+        for a in have.tolist():
+            other = have[(have <= a) & (have + a <= capacity)]
+            if counts[a] < 2:
+                other = other[other < a]
+            shortest[a + other] = np.minimum(shortest[a + other], a)
+            for s in (a + other).tolist():
+                self.pairs[s].append(a)
+        for a in have.tolist():
+            for s in np.flatnonzero(shortest[: capacity - a + 1] <= a).tolist():
+                self.triples[a + s].append(a)
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Contents of sequences, as lengths in order, and how many sequences have them."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        if not 1 <= length <= capacity:
-            raise ValueError(f"a piece of {length} tokens does not fit {capacity}")
-        counts[length] += n
-    made: list[tuple[tuple[int, ...], int]] = []
-    if counts[capacity]:
-        made.append(((capacity,), int(counts[capacity])))
-        counts[capacity] = 0
-    rest: dict[int, int] = {}
-    for length in range(capacity - 1, 0, -1):
-        while counts[length] and (found := _complement(counts, length, capacity - length)):
-            need: dict[int, int] = defaultdict(int)
-            for x in (length, *found):
-                need[x] += 1
+    def _pair(self, total: int, longest: int) -> tuple[int, int] | None:
+        listed = self.pairs.get(total, [])
+        for i in range(len(listed) - 1, -1, -1):
+            a, b = listed[i], total - listed[i]
+            if self.counts[b] < 1 or self.counts[a] < 1 + (a == b):
+                del listed[i]
+            elif a <= longest:
+                return a, b
+        return None
+
+    def find(self, total: int) -> tuple[int, ...] | None:
+        """As few available lengths as sum to total, three at most and longest first; of equally many, the one with the longest first."""
+        if self.counts[total]:
+            return (total,)
+        if found := self._pair(total, total):
+            return found
+        listed = self.triples.get(total, [])
+        while listed:
+            a = listed[-1]
+            if self.counts[a]:
+                self.counts[a] -= 1
+                found = self._fresh_pair(total - a, a)
+                self.counts[a] += 1
+                if found:
+                    return (a, *found)
+            listed.pop()
+        return None
+
+    def _fresh_pair(self, total: int, longest: int) -> tuple[int, int] | None:
+        """_pair that leaves the index as it is: the counts are lowered for this look-up alone."""
+        for a in reversed(self.pairs.get(total, [])):
+            b = total - a
+            if a <= longest and self.counts[b] >= 1 and self.counts[a] >= 1 + (a == b):
+                return a, b
+        return None
+
+
+def _complemented(counts: np.ndarray, least: int, made: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """Consume exact complements of lengths from the longest down to `least`; returns what is left, for best fit."""
+    capacity = len(counts) - 1
+    index = SumIndex(counts)
+    left = np.zeros_like(counts)
+    for length in range(capacity - 1, least - 1, -1):
+        while counts[length]:
+            counts[length] -= 1
+            found = index.find(capacity - length)
+            counts[length] += 1
+            if not found:
+                # none now, none later: as far as complements go, this length is used up
+                left[length], counts[length] = counts[length], 0
+                break
+            need = Counter((length, *found))
             times = int(min(counts[x] // k for x, k in need.items()))
             made.append(((length, *found), times))
             for x, k in need.items():
                 counts[x] -= times * k
-        if counts[length]:
-            rest[length] = int(counts[length])
-            counts[length] = 0
-    # best fit over groups of alike sequences, by gap
+    return left + counts
+
+
+def _best_fit(counts: np.ndarray, made: list[tuple[tuple[int, ...], int]]) -> None:
+    """Best fit, longest first, over groups of alike sequences by gap."""
+    capacity = len(counts) - 1
     by_gap: dict[int, list[list]] = defaultdict(list)
-    for length in sorted(rest, reverse=True):
-        n = rest[length]
+    for length in range(capacity, 0, -1):
+        n = int(counts[length])
         while n:
             gap = min((g for g, groups in by_gap.items() if g >= length and groups), default=0)
             if gap:
@@ -112,7 +142,34 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                     by_gap[gap].append([group[0], group[1] - 1])
                 n = 0
     made += [(tuple(lengths), n) for groups in by_gap.values() for lengths, n in groups]
-    return made
+
+
+#: Plans that are made, in 16ths of the capacity: the least length that is complemented, and the least that is part
+#: of a complement.  Best fit alone, which complements nothing, is the last.
+PLANS = [(0, 0), (0, 1), (0, 4), (8, 0), (8, 4), (12, 0), (16, 0)]
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Contents of sequences, as lengths in order, and how many sequences have them: the best of PLANS."""
+    every = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        if not 1 <= length <= capacity:
+            raise ValueError(f"a piece of {length} tokens does not fit {capacity}")
+        every[length] += n
+    bound = -(-int((every * np.arange(capacity + 1)).sum()) // capacity)
+    best, fewest = [], None
+    for least, part in PLANS:
+        held, counts, made = every.copy(), every.copy(), []
+        held[max(1, part * capacity // 16) :] = 0  # for best fit alone
+        counts -= held
+        held += _complemented(counts, max(1, least * capacity // 16), made)
+        _best_fit(held, made)
+        n = sum(n for _, n in made)
+        if fewest is None or n < fewest:
+            best, fewest = made, n
+        if fewest == bound:
+            break
+    return best
 
 
 def runs(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -217,6 +274,6 @@ def pack_documents(
     """
     spark = df.sparkSession
     cut, path = write_table(cut_pieces(df, capacity, tokenizer, end_id, text_column(df, doc_id), text_column(df, text), with_ids), "pieces")
-    packed, _ = write_table(pack(cut, capacity, ["doc_id", "piece", "start", "length", "ids_crc32"]), "packed")
+    packed = write_result(pack(cut, capacity, ["doc_id", "piece", "start", "length", "ids_crc32"]), "packed")
     drop_table(spark, path)
     return packed

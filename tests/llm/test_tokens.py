@@ -1,6 +1,9 @@
 """Operators 1, 2, 6 and 8 against the tokenizers' own libraries."""
 
+import bisect
 import hashlib
+import itertools
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,9 +13,10 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import packing, sentencepiece_codec, token_counts, token_store
+from millrace.llm import common, packing, sentencepiece_codec, token_counts, token_store
 from millrace.llm.byte_bpe import byte_bpe
 
 
@@ -102,6 +106,33 @@ def test_token_store_short_access_and_damage(spark, documents, tmp_path):
         token_store.read_store(spark, f"{tmp_path}/x").collect()
 
 
+def test_a_store_of_string_ids_is_in_their_order(spark, documents, tmp_path):
+    df = documents.limit(120).withColumn("doc_id", F.when(F.col("doc_id") % 10 == 3, F.lit(None)).otherwise(F.concat(F.lit("é"), F.col("doc_id").cast("string"))))
+    path = token_store.write_store(df, str(tmp_path / "strings"), shards=7)
+    got = token_store.read_store(spark, path, with_ids=False).orderBy("start").collect()
+    names = [r["doc_id"] for r in got]
+    assert names == sorted(names, key=lambda d: (d is not None, d or "")) and len(names) == 120
+    assert spark.read.parquet(f"{path}/blocks").select("shard").distinct().count() > 3
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def test_kinds_of_pieces():
+    path = P.path("piece_bpe_32k.model")
+    assert 1 in sentencepiece_codec.piece_kinds(path) and sentencepiece_codec.USER_DEFINED not in sentencepiece_codec.piece_kinds(path)
+    piece = b"\x0a\x02ab\x15\x00\x00\x80\x3f\x18\x04"
+    assert dict(sentencepiece_codec._fields(piece)) == {1: b"ab", 2: b"\x00\x00\x80\x3f", 3: 4}
+
+
+def test_results_can_be_dropped(spark, documents):
+    made = packing.pack_documents(documents.limit(5))
+    assert made.count() and made.inputFiles()
+    common.drop_results(spark)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in made.inputFiles())
+
+
 def test_empty_tables(spark, documents, tmp_path):
     none = documents.limit(0)
     assert sentencepiece_codec.encode_decode(none).count() == 0
@@ -132,8 +163,69 @@ def test_packing_places_every_piece_once(which, capacity, request, byte_library)
             assert offset == at
             at += length
         assert at <= capacity
-    total = sum(r["length"] for r in got)
-    assert len(sequences) <= max(1.1 * total / capacity + 2, 1)
+    assert len(sequences) <= best_fit_decreasing([r["length"] for r in got], capacity)
+
+
+def best_fit_decreasing(lengths: list[int], capacity: int) -> int:
+    """Sequences that plain best fit needs, piece by piece."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - x)
+    return len(gaps)
+
+
+def fewest(lengths: list[int], capacity: int) -> int:
+    """Sequences at least needed, by trying every way."""
+    lengths = sorted(lengths, reverse=True)
+    best = best_fit_decreasing(lengths, capacity)
+
+    def put(i: int, gaps: tuple[int, ...]) -> None:
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for g in set(gaps):
+            if g >= lengths[i]:
+                rest = list(gaps)
+                rest.remove(g)
+                put(i + 1, tuple(sorted([*rest, g - lengths[i]])))
+        put(i + 1, tuple(sorted([*gaps, capacity - lengths[i]])))
+
+    put(0, ())
+    return best
+
+
+def sequences_of(lengths: list[int], capacity: int) -> int:
+    return sum(n for _, n in packing.plan(Counter(lengths), capacity))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_plan_is_near_the_fewest_sequences(lengths):
+    assert sequences_of(lengths, 20) <= fewest(lengths, 20) + 1
+
+
+@pytest.mark.parametrize("low, high", [(1, 1023), (200, 700), (250, 400), (300, 380), (1, 200)])
+def test_plan_is_no_worse_than_best_fit(low, high):
+    lengths = np.random.default_rng(low).integers(low, high, 3000).tolist()
+    n = sequences_of(lengths, 1024)
+    assert -(-sum(lengths) // 1024) <= n <= best_fit_decreasing(lengths, 1024)
+
+
+def test_sum_index_finds_what_all_combinations_have():
+    counts = np.zeros(41, np.int64)
+    for x in np.random.default_rng(3).integers(1, 20, 9).tolist():
+        counts[x] += 1
+    have = [x for x in range(41) for _ in range(counts[x])]
+    index = packing.SumIndex(counts)
+    for total in range(1, 40):
+        size = next((k for k in (1, 2, 3) if any(sum(c) == total for c in itertools.combinations(have, k))), None)
+        found = index.find(total)
+        assert (len(found) if found else None) == size
+        assert not found or sum(found) == total and not Counter(found) - Counter(have)
 
 
 @settings(max_examples=100, deadline=None)

@@ -1,10 +1,13 @@
 """Operator 4: counts against plain Python, the model against plain Kneser-Ney, verdicts."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -47,6 +50,16 @@ def test_rule_counts_of_tables(documents, odd_documents):
         assert rows([t.encode() for t in texts]) == [plain_counts(t) for t in texts]
 
 
+def plain_discounts(counts):
+    n1, n2, n3, n4 = (counts[i] for i in (1, 2, 3, 4))
+    if not n1 or not n2:
+        return 0.5, 0.75, 0.9
+    y = n1 / (n1 + 2 * n2)
+    d2 = 2 - 3 * y * n3 / n2
+    d3 = 3 - 4 * y * n4 / n3 if n3 else d2
+    return tuple(min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, d2), (3, d3)))
+
+
 def plain_model(texts, order):
     """Interpolated modified Kneser-Ney of bytes, computed the plain way."""
     top = Counter()
@@ -56,17 +69,21 @@ def plain_model(texts, order):
     counts = {order: top}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts = {k: plain_discounts(Counter(c.values())) for k, c in counts.items()}
+    by_context = defaultdict(dict)
+    for c in counts.values():
+        for g, n in c.items():
+            by_context[g[:-1], len(g)][g] = n
 
+    @lru_cache(maxsize=None)
     def prob(gram):
         if not gram:
             return 1 / 256
-        c = counts[len(gram)]
-        table = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        table = by_context.get((gram[:-1], len(gram)))
         lower = prob(gram[1:])
         if not table:
             return lower
-        d = q._discounts(Counter(n for n in c.values() if n <= 4))
-        total = sum(table.values())
+        d, total = discounts[len(gram)], sum(table.values())
         gamma = sum(d[min(n, 3) - 1] for n in table.values()) / total
         own = max(table[gram] - d[min(table[gram], 3) - 1], 0) / total if gram in table else 0
         return own + gamma * lower
@@ -74,35 +91,72 @@ def plain_model(texts, order):
     return prob
 
 
-def test_model_equals_plain_kneser_ney(spark):
-    texts = ["abracadabra", "abba", "", "cab abra", "éa éa", "abc" * 5]
-    other = ["xyz xyzzy", "yxyx"]
-    df = spark.createDataFrame([(t, 1) for t in texts] + [(t, 2) for t in other], "text string, tag int")
-    model = q.KneserNey(q.train(df, 3), 3)
-    probes = ["abra", "", "zzz", "éabra日", "xyz"]
-    for tag, corpus in ((1, texts), (2, other), (3, [])):
-        prob = plain_model([t.encode() for t in corpus], 3)
-        for p in probes:
-            b = b"\xff\xff" + p.encode() + b"\xff"
-            want = sum(math.log10(prob(b[i : i + 3])) for i in range(len(b) - 2))
-            got = model.log10_sums([p.encode()], np.array([tag]))[0]
-            assert math.isclose(got, want, rel_tol=1e-5), (tag, p)
+def plain_cost(prob, data, order):
+    b = b"\xff" * (order - 1) + data + b"\xff"
+    return -sum(math.log10(prob(b[i : i + order])) for i in range(len(b) - order + 1)) / (len(data) + 1)
+
+
+def test_plain_model_sums_to_one():
+    prob = plain_model([b"abracadabra", b"abba", b"", b"cab abra"], 3)
+    for context in (b"\xff\xff", b"br", b"zz", b"ab", b"\xffa"):
+        assert math.isclose(sum(prob(context + bytes([x])) for x in range(256)), 1, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("hot", [0, 200, 1 << 20])
+@pytest.mark.parametrize("by_lang", [True, False])
+def test_perplexities_equal_plain_kneser_ney(spark, hot, by_lang):
+    """Whatever part of the model is broadcast; texts with many symbols are judged but not learnt from."""
+    r = random.Random(5)
+    words = ["the", "thand", "ing", "éa", "abra", "cad", "über"]
+    texts = [" ".join(r.choice(words) + str(r.randrange(40)) for _ in range(r.randrange(5, 40))) for _ in range(60)]
+    texts += [" ".join(f"w{i}%%%" for i in range(15)), " ".join(f"x{i * 7}" for i in range(1, 30)), "日本 " + texts[0], texts[1], texts[1]]
+    rows = [(i, t, [None, "en", "fr"][i % 3]) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in q.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lang="lang" if by_lang else None, order=3, hot=hot).collect()}
+    learnt = defaultdict(list)
+    for i, t, lang in rows:
+        n_words, _, symbols, _, _, failed = plain_counts(t)
+        if not failed and symbols * 10 <= n_words:
+            learnt[lang if by_lang else None].append(t.encode())
+    models = {k: plain_model(v, 3) for k, v in learnt.items()}
+    ppl = {}
+    for i, t, lang in rows:
+        if plain_counts(t)[5]:
+            assert got[i]["log10_ppl"] is None and not got[i]["kept"]
+        else:
+            ppl[i] = plain_cost(models[lang if by_lang else None], t.encode(), 3)
+            assert math.isclose(got[i]["log10_ppl"], ppl[i], abs_tol=1e-6)
+    # bands, over distinct texts
+    for lang in learnt:
+        mine = {t: ppl[i] for i, t, g in rows if i in ppl and (g == lang or not by_lang)}
+        x = sorted(round(p * q.BIN) for p in mine.values())
+        middle = x[(len(x) - 1) // 2]
+        apart = sorted(abs(v - middle) for v in x)[(len(x) - 1) // 2]
+        some = next(got[i] for i, _, g in rows if i in ppl and (g == lang or not by_lang))
+        assert math.isclose(some["low"], (middle - q.BELOW * apart) / q.BIN - q.MARGIN, abs_tol=q.BELOW * 2e-4)
+        assert math.isclose(some["high"], (middle + q.ABOVE * apart) / q.BIN + q.MARGIN, abs_tol=q.ABOVE * 2e-4)
+
+
+def test_costs_of_grams_are_a_distribution_s(spark):
+    """Every gram's cost is that of plain Kneser-Ney, whose next-byte probabilities sum to 1 (see above)."""
+    base = " ".join(f"word{i}" for i in range(12))
+    more = [base + chr(c) for c in range(1, 128) if chr(c) not in "#*$%&|<>"] * 2
+    df = spark.createDataFrame([(t, 1) for t in more], "text string, grp long")
+    costs, _ = q.gram_costs(df, 3)
+    rows = costs.collect()
+    of = {r["gram"]: r["cost"] for r in rows}
+    prob = plain_model([t.encode() for t in more if not plain_counts(t)[5]], 3)
+    assert len(of) > 120
+    for g, c in of.items():
+        assert math.isclose(10 ** (-c / q.UNIT), prob(g.to_bytes(3, "big")), rel_tol=1e-5)
 
 
 def test_hash_arrays_find_what_is_there():
     r = np.random.default_rng(3)
-    keys = np.unique(r.integers(0, 1 << 60, 5000, dtype=np.uint64))
-    a = q.HashArrays(keys[::2], np.arange(len(keys[::2]), dtype=float), np.zeros(len(keys[::2])))
+    keys = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    a = q.HashArrays(keys[::2], np.arange(len(keys[::2])))
     at = a.find(keys)
-    assert (at[1::2] == -1).all() and (a.logp[at[::2]] == np.arange(len(keys[::2]))).all()
-    assert (q.HashArrays(keys[:0], np.zeros(0), np.zeros(0)).find(keys) == -1).all()
-
-
-def test_a_bounded_model_backs_off(documents):
-    arrays = q.train(documents.select("text", F.lit(0).alias("tag")), 4, max_grams=200)
-    assert all((~np.isnan(a[1])).sum() <= 200 for a in arrays)
-    sums = q.KneserNey(arrays, 4).log10_sums([b"the thing", b""], np.array([0, 0]))
-    assert np.isfinite(sums).all() and sums[0] > -9 * math.log10(256)
+    assert (at[1::2] == -1).all() and (a.cost[at[::2]] == np.arange(len(keys[::2]))).all()
+    assert (q.HashArrays(keys[:0], np.zeros(0)).find(keys) == -1).all()
 
 
 def test_verdicts(spark):
@@ -118,8 +172,27 @@ def test_verdicts(spark):
     good = labels.where("quality = 1").toPandas().doc_id
     clean = got.loc[good]
     assert clean.kept[~clean.base_failed].mean() > 0.99
-    kept = {r["doc_id"] for r in q.keep_good(both).collect()}
-    assert kept == set(got.index[got.kept])
+    bad = got.loc[labels.where("quality = 0").toPandas().doc_id]
+    assert bad.kept.mean() < 0.1
+    for hot in (q.HOT_GRAMS, 2000):
+        assert {r["doc_id"] for r in q.keep_good(both, hot=hot).collect()} == set(got.index[got.kept])
+
+
+def test_verdicts_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    made = [{r["doc_id"]: (r["log10_ppl"], r["low"], r["high"], r["kept"]) for r in q.assess(d, hot=hot).collect()} for d, hot in ((df, 1 << 20), (df.repartition(7), 3000))]
+    assert made[0] == made[1]
+
+
+def test_junk_and_copies_do_not_move_the_band(spark):
+    """A fifth of junk, and a third of all rows one text: both leave clean texts alone, and junk goes."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    clean = q.assess(df).where("kept").select("doc_id").join(df, "doc_id")
+    n = clean.count()
+    junk = clean.limit(n // 4).select((-F.col("doc_id") - 1).alias("doc_id"), F.regexp_replace("text", r"(\w)\s", "$1&&& ").alias("text"), "lang")
+    one = clean.orderBy("doc_id").limit(1).crossJoin(spark.range(n // 2).withColumnRenamed("id", "k")).select((F.lit(1_000_000) + F.col("k")).alias("doc_id"), "text", "lang")
+    got = q.assess(clean.union(junk).union(one)).toPandas().set_index("doc_id")
+    assert got.kept[got.index >= 0].mean() > 0.99 and got.kept[got.index < 0].mean() < 0.05
 
 
 def test_odd_rows(odd_documents):

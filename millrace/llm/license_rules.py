@@ -2,8 +2,8 @@
 
 A rule is ``label | keyword | priority | score | regex``.  The regex matches whole words of a text in
 which A-Z are lower case and words stand with one space between them; any run of ASCII characters
-that are neither letters nor digits is a space.  The keyword must stand in the text for the regex to
-be tried.  A smaller priority number wins over a larger one where detections overlap by containment.
+that are neither letters nor digits is a space.  The keyword must stand in the text, licence and its
+forms spelt license, for the regex to be tried, and its words must be words of the text.  A smaller priority number wins over a larger one where detections overlap by containment.
 1: an identifier or the licence's own words, 2: the licence named in full with its version,
 3: named in a licensing sentence, 4: named without a version, 5: a general notice.
 """
@@ -38,7 +38,8 @@ bsd-2-clause | spdx | 1 | 1.0 | spdx license identifier bsd 2 clause
 bsd-2-clause | bsd | 2 | 0.95 | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[sc]e)
 bsd-4-clause | bsd | 2 | 0.95 | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)(?: licen[sc]e)?
 bsd-4-clause | all advertising materials | 1 | 0.95 | all advertising materials mentioning features or use of this software must display
-bsd-0-clause | bsd | 2 | 0.95 | (?:bsd zero clause|zero clause bsd|0bsd|bsd 0 clause)(?: licen[sc]e)?
+bsd-0-clause | bsd | 2 | 0.95 | (?:bsd zero clause|zero clause bsd|bsd 0 clause)(?: licen[sc]e)?
+bsd-0-clause | 0bsd | 2 | 0.95 | 0bsd(?: licen[sc]e)?
 bsd | redistribution and use | 2 | 0.9 | redistribution and use in source and binary forms with or without modification are permitted
 bsd | bsd | 3 | 0.85 | (?:licen[sc]ed|released|distributed|available) under (?:the |a )?bsd(?: style)? licen[sc]e
 bsd | bsd | 4 | 0.7 | bsd(?: style)? licen[sc]ed?
@@ -126,7 +127,8 @@ beerware | beerware | 2 | 0.9 | (?:the )?beerware licen[sc]e
 public-domain | public domain | 3 | 0.9 | (?:released|placed|dedicated|donated|put|is|are) (?:in|into|in to|to) the public domain
 public-domain | public domain | 3 | 0.85 | public domain (?:dedication|mark|work|software|notice)
 cc0-1.0 | cc0 | 2 | 1.0 | cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?
-cc0-1.0 | cc zero | 2 | 0.9 | (?:creative commons|cc) zero
+cc0-1.0 | cc zero | 2 | 0.9 | cc zero
+cc0-1.0 | creative commons zero | 2 | 0.9 | creative commons zero
 cc0-1.0 | publicdomain zero | 2 | 0.95 | creativecommons org publicdomain zero 1 0
 cc-by-nc | cc by nc | 2 | 0.95 | cc by nc(?: [1234] [05])?
 cc-by-nc-sa | cc by nc sa | 1 | 1.0 | cc by nc sa(?: [1234] [05])?
@@ -135,8 +137,8 @@ cc-by-nd | cc by nd | 1 | 1.0 | cc by nd(?: [1234] [05])?
 cc-by-sa | cc by sa | 1 | 1.0 | cc by sa(?: [1234] [05])?
 cc-by | cc by | 2 | 0.95 | cc by [1234] [05]
 cc-by | under cc by | 4 | 0.8 | under cc by(?! nc| nd| sa)
-cc-by-nc-sa | noncommercial sharealike | 1 | 1.0 | (?:creative commons )?attribution non ?commercial share ?alike(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?
-cc-by-nc-nd | noncommercial no | 1 | 1.0 | (?:creative commons )?attribution non ?commercial no ?deriv(?:s|atives)(?: works)?(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?
+cc-by-nc-sa | attribution non | 1 | 1.0 | (?:creative commons )?attribution non ?commercial share ?alike(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?
+cc-by-nc-nd | attribution non | 1 | 1.0 | (?:creative commons )?attribution non ?commercial no ?deriv(?:s|atives)(?: works)?(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?
 cc-by-nc | attribution noncommercial | 2 | 1.0 | (?:creative commons )?attribution noncommercial(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?
 cc-by-nc | attribution non commercial | 2 | 1.0 | (?:creative commons )?attribution non commercial(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?
 cc-by-sa | attribution sharealike | 2 | 1.0 | (?:creative commons )?attribution sharealike(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?
@@ -194,7 +196,8 @@ confluent-community | confluent community | 2 | 0.95 | confluent community licen
 commons-clause | commons clause | 2 | 0.95 | commons clause(?: licen[sc]e)?(?: condition)?(?:(?: version| v)? ?1 0)?
 polyform | polyform | 2 | 0.95 | polyform (?:noncommercial|small business|shield|perimeter|strict|internal use|free trial) licen[sc]e(?: 1 0 [01])?
 fsl | functional source license | 2 | 0.95 | functional source licen[sc]e(?:(?: version| v)? ?1 [01])?
-openrail | openrail | 2 | 0.95 | (?:creativeml |bigscience )?(?:open ?rail|openrail)(?: m)?(?: licen[sc]e)?
+openrail | openrail | 2 | 0.95 | (?:creativeml |bigscience )?openrail(?: m)?(?: licen[sc]e)?
+openrail | open rail | 2 | 0.95 | (?:creativeml |bigscience )?open rail(?: m)?(?: licen[sc]e)?
 rail | responsible ai license | 2 | 0.95 | (?:bigscience )?(?:open )?responsible ai licen[sc]e
 llama | llama | 2 | 0.9 | llama (?:[234](?: [0-9])? )?community licen[sc]e(?: agreement)?
 gemma | gemma terms | 2 | 0.9 | gemma terms of use
@@ -203,7 +206,7 @@ research-only | research | 3 | 0.8 | (?:for )?(?:non ?commercial )?research(?: a
 non-commercial | non commercial | 3 | 0.8 | (?:for )?non commercial (?:use|purposes?)(?: only)?
 non-commercial | noncommercial | 3 | 0.8 | (?:for )?noncommercial (?:use|purposes?)(?: only)?
 proprietary | proprietary | 3 | 0.85 | (?:this (?:software|document|work|text) is )?(?:confidential and )?proprietary(?: and confidential)?(?: information)?
-proprietary | reproduction | 3 | 0.85 | (?:unauthori[sz]ed )?(?:copying|reproduction|distribution)(?: or distribution)?(?: of this (?:file|work|document|text))?(?: via any medium)? is strictly prohibited
+proprietary | strictly prohibited | 3 | 0.85 | (?:unauthori[sz]ed )?(?:copying|reproduction|distribution)(?: or distribution)?(?: of this (?:file|work|document|text))?(?: via any medium)? is strictly prohibited
 proprietary | may not be reproduced | 3 | 0.85 | (?:no part of this .{1,40}?|this .{1,40}?) may not be reproduced(?: in any form)?
 proprietary | no part of this | 3 | 0.85 | no part of this (?:publication|book|work|document|text) may be reproduced
 proprietary | end user license | 3 | 0.85 | end user licen[sc]e agreement

@@ -25,7 +25,7 @@ def expected(text):
     norm = " " + " ".join(words) + " "
     found = set()
     for label, keyword, priority, score, regex in rules():
-        if keyword in norm:
+        if licenses.american(keyword) in licenses.american(norm):
             for m in re.finditer(f"(?<= )(?:{regex})(?= )", norm):
                 first = norm[: m.start()].count(" ") - 1
                 found.add((first, first + m[0].count(" "), label, priority, score))
@@ -71,6 +71,57 @@ def test_every_rule_is_reached_and_gated():
         re.compile(regex)
 
 
+def alternatives(parsed):
+    """Texts that a parsed regex matches: every branch, each optional part with and without, one character of a set."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "IN":
+            more = [chr(v) if str(o) == "LITERAL" else chr(v[0]) for o, v in value]
+        elif name == "ANY":
+            more = ["x"]
+        elif name == "BRANCH":
+            more = [a for b in value[1] for a in alternatives(b)]
+        elif name == "SUBPATTERN":
+            more = alternatives(value[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = alternatives(value[2])
+            more = [""] * (value[0] == 0) + [a * max(value[0], 1) for a in one]
+        else:
+            assert name == "ASSERT_NOT", name
+            more = [""]
+        # longer lists would only repeat what some of their parts show
+        out = [a + b for a in out for b in more][:4000]
+    return out
+
+
+def test_every_alternative_holds_its_keyword_and_passes_the_gate():
+    gate = set(licenses.gate_words([*(r[1] for r in rules()), *licenses.PHRASES]))
+    for label, keyword, _, _, regex in rules():
+        for text in alternatives(re._parser.parse(regex)):
+            assert licenses.american(keyword) in licenses.american(text), (label, text)
+            assert gate & set(text.split()), (label, text)
+
+
+@pytest.mark.parametrize("n", [1, 500])
+def test_british_spelling_and_many_detections(spark, n):
+    texts = ["GNU General Public Licence version 3. ", "Mozilla Public Licence, ", "creative commons attribution non commercial share alike 4.0 ", "gpl3 or lgpl2 1 ", "licence mit sous licence x under the mit license "]
+    whole = [t * n for t in texts] + ["".join(texts) * n]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(whole)], "doc_id int, text string")
+    for r in licenses.digest(licenses.scan(df, keep=["doc_id"])).collect():
+        want = expected(whole[r["doc_id"]]) if n == 1 else (*[n * x for x in expected(whole[r["doc_id"]][: len(whole[r["doc_id"]]) // n])[:2]], *expected(whole[r["doc_id"]][: len(whole[r["doc_id"]]) // n * 2])[4:])
+        got = tuple(r)[1:] if n == 1 else (*tuple(r)[1:3], *tuple(r)[5:])
+        assert got == want and r["labels"]
+
+
+def test_phrases_that_overlap_themselves(spark):
+    df = spark.createDataFrame([(1, "a b a b a, it's c"), (2, "license")], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in licenses.digest(licenses.scan(df, phrases={"a b a": "x", "it s": "y'z"})).collect()}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (3, 0, 5, "x,y'z") and got[2]["n_base"] == 0
+
+
 def test_kept_columns_and_names(odd_documents):
     got = licenses.scan(odd_documents.withColumn("N_Words", F.lit(1)).withColumn("detections", F.lit(2)))
     assert got.columns[-2:] == ["_n_words", "_detections"] and got.count() == odd_documents.count()

@@ -1,6 +1,7 @@
 """Operator 9: approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
-Vectors are dealt to shards of about ROWS_PER_SHARD by their ids' hashes.  In a shard equal vectors
+Vectors are dealt to shards of about ROWS_PER_SHARD by their ids' hashes, those of each length to shards
+of their own, as a distance is defined between vectors of one length only.  In a shard equal vectors
 are one node, which remembers its ids.  The graph is built in batches: a greedy beam search from the
 medoid proposes neighbours for each new node from what it visited; robust pruning keeps the nearest
 and drops every candidate that is nearer to a kept one, by a relaxed factor ALPHA, than to the node;
@@ -9,12 +10,15 @@ shard's graph with a beam and takes the exact distance, in double precision, of
 best of all shards are the result.
 
 All steps run for many nodes or queries at a time.  Indexes are rows of a table, so a lost executor
-costs no more than the tasks it ran.
+costs no more than the tasks it ran.  Queries move to the shards: in a task a shard's graph comes first
+and queries pass it batch by batch, so that memory holds one graph, whatever the number of queries.  Only
+beyond QUERIES_PER_BLOCK queries does a second task get a copy of the graph.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, text_column, write_table
+from .common import drop_table, text_column, write_result, write_table
 
 ROWS_PER_SHARD = 16_384
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 56, 192, 1.2
 #: Nodes of the beam whose neighbours are looked at in one step.
 WIDTH = 4
 BATCH = 512
-QUERIES_PER_BLOCK = 1024
+#: Partitions at most in which shards and queries meet; with more shards, a task serves several, one after another.
+MOST_PARTS = 20_000
+QUERIES_PER_BLOCK = 1 << 17
 
 
 def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,21 +166,26 @@ def _valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def build_index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", rows_per_shard: int = ROWS_PER_SHARD, degree: int = DEGREE) -> tuple[DataFrame, str | None, int]:
-    """A table with one row for each shard's graph, its path, and the vectors' length.
+def _vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """id, v and dim of the rows of df that take part."""
+    rows = df.select(F.col(f"`{text_column(df, vec_id)}`").cast("long").alias("id"), F.col(f"`{text_column(df, vector)}`").cast("array<double>").alias("v"))
+    return rows.where(F.col("id").isNotNull() & _valid(F.col("v"))).withColumn("dim", F.size("v"))
 
-    Takes every row with an id and a vector that is not null or zero and has finite components only; of
-    vectors of different lengths those of the most frequent length (of equally frequent ones the longest).
+
+def build_index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", rows_per_shard: int = ROWS_PER_SHARD, degree: int = DEGREE) -> tuple[DataFrame, str]:
+    """A table with one row for each shard's graph, and its path.
+
+    Takes every row with an id and a vector that is not null or zero and has finite components only,
+    whatever its length.  Ids are read as longs; one that is none counts as null.
     """
-    rows = df.select(F.col(f"`{text_column(df, vec_id)}`").cast("long").alias("id"), F.col(f"`{text_column(df, vector)}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _valid(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    dim, n = (sizes[0]["d"], sizes[0]["count"]) if sizes else (0, 0)
-    shards = max(1, math.ceil(n / rows_per_shard))
-    schema = "shard int, ids binary, first binary, vectors binary, graph binary, entry long, degree int"
+    rows = _vectors(df, vec_id, vector)
+    shards = rows.groupBy("dim").agg(F.ceil(F.count("*") / rows_per_shard).cast("long").alias("shards"))  # one row for each length
+    schema = "dim int, shard int, ids binary, first binary, vectors binary, graph binary, entry long, degree int"
+    kinds = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("ids", "first", "vectors", "graph")), ("entry", pa.int64()), ("degree", pa.int32())])
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("id").to_numpy()
+        ids, dim = table.column("id").to_numpy(), table.column("dim")[0].as_py()
         exact = table.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
         # equal vectors (0.0 and -0.0 are equal) are one node, with its ids in order
         exact = exact + 0.0
@@ -183,60 +194,85 @@ def build_index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
         first = np.flatnonzero(np.concatenate([[True], node[by][1:] != node[by][:-1]]))
         distinct = exact[by[first]]
         graph, entry = build_graph(distinct.astype(np.float32), degree)
-        shard = table.column("shard")[0].as_py()
-        row = [[shard], [ids[by].tobytes()], [np.append(first, len(ids)).astype(np.int64).tobytes()], [distinct.tobytes()], [graph.tobytes()], [entry], [degree]]
-        return pa.table(dict(zip(("shard", "ids", "first", "vectors", "graph", "entry", "degree"), row)), schema=pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("ids", "first", "vectors", "graph")), ("entry", pa.int64()), ("degree", pa.int32())]))
+        row = [dim, table.column("shard")[0].as_py(), ids[by].tobytes(), np.append(first, len(ids)).astype(np.int64).tobytes(), distinct.tobytes(), graph.tobytes(), entry, degree]
+        return pa.table([[x] for x in row], schema=kinds)
+
+    dealt = rows.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    return write_table(dealt.select("dim", "shard", "id", "v").groupBy("dim", "shard").applyInArrow(build, schema), "graphs")
 
-    dealt = rows.where(F.size("v") == dim).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    index, path = write_table(dealt.groupBy("shard").applyInArrow(build, schema), "graphs")
-    return index, path, dim
 
+class _Shard:
+    """One shard's graph, as searches use it."""
 
-def search(index: DataFrame, queries: DataFrame, dim: int, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
+    def __init__(self, dim: int, ids: bytes, first: bytes, vectors: bytes, graph: bytes, entry: int, degree: int):
+        self.ids, self.first = np.frombuffer(ids, np.int64), np.frombuffer(first, np.int64)
+        self.exact = np.frombuffer(vectors, np.float64).reshape(-1, dim)
+        self.x = self.exact.astype(np.float32)
+        self.norms = (self.x * self.x).sum(1)
+        self.graph, self.entry = np.frombuffer(graph, np.int32).reshape(-1, degree), entry
+
+    def nearest(self, asked: np.ndarray, q: np.ndarray, k: int, beam: int) -> list[np.ndarray]:
+        """Query id, vector id and distance of the k nearest found of each query, but for rows of its own id."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found, _ = beam_search(self.x, self.norms, self.graph, self.entry, q.astype(np.float32), min(max(beam, k + 1), max(len(self.x), 1)))
+        for i, nodes in enumerate(found):
+            nodes = nodes[nodes >= 0]
+            score = np.sqrt(((self.exact[nodes] - q[i]) ** 2).sum(1))
+            # k + 1 ids of each node are enough: one may be the query's own
+            members = [self.ids[self.first[p] : min(self.first[p] + k + 1, self.first[p + 1])] for p in nodes.tolist()]
+            every = np.concatenate(members)
+            each = np.repeat(score, [len(m) for m in members])
+            other = every != asked[i]
+            every, each = every[other], each[other]
+            best = np.lexsort((every, each))[:k]
+            out.append((np.full(len(best), asked[i]), every[best], each[best]))
+        return [np.concatenate(c) for c in zip(*out)]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", beam: int = SEARCH_BEAM, per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each query, but for rows of the query's own id.
 
-    Queries that have no valid vector of the index's length have no rows.  Each block of queries meets
-    each shard once; what is compared after that is k rows a query and shard.
+    Queries without a valid vector, or of a length that no vector has, have no rows.  Each query meets
+    each shard of its length once; what is compared after that is k rows a query and shard.
     """
-    valid = queries.select(F.col(f"`{text_column(queries, vec_id)}`").cast("long").alias("id"), F.col(f"`{text_column(queries, vector)}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _valid(F.col("v")) & (F.size("v") == dim)).distinct()
-    last = index.agg(F.max("shard")).first()[0]
-    blocks = max(1, math.ceil(valid.count() / QUERIES_PER_BLOCK))
-    asked = valid.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = _vectors(queries, vec_id, vector).distinct()
+    blocks = max(1, math.ceil(asked.count() / per_block))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    if last is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    graph = ["ids", "first", "vectors", "graph", "entry", "degree"]
+    place = ["dim", "shard", "block"]
+    shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))  # one row for each length
+    each = asked.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)")))
+    wanted = each.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select(*place, "id", "v", *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in graph])
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*place, F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), *graph)
 
-    def look(key, graphs: pa.Table, table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if graphs.num_rows and table.num_rows:
-            g = {c: graphs.column(c)[0].as_py() for c in graphs.column_names}
-            ids, first = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["first"], np.int64)
-            exact = np.frombuffer(g["vectors"], np.float64).reshape(-1, dim)
-            x = exact.astype(np.float32)
-            graph = np.frombuffer(g["graph"], np.int32).reshape(-1, g["degree"])
-            norms = (x * x).sum(1)
-            table = table.combine_chunks()
-            asked_ids = table.column("id").to_numpy()
-            q = table.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(asked_ids), dim)
-            for lo in range(0, len(q), BATCH):
-                found, _ = beam_search(x, norms, graph, g["entry"], q[lo : lo + BATCH].astype(np.float32), min(max(beam, k + 1), max(len(x), 1)))
-                for i, nodes in enumerate(found):
-                    nodes = nodes[nodes >= 0]
-                    score = np.sqrt(((exact[nodes] - q[lo + i]) ** 2).sum(1))
-                    # k + 1 ids of each node are enough: one may be the query's own
-                    members = [ids[first[p] : min(first[p] + k + 1, first[p + 1])] for p in nodes.tolist()]
-                    every = np.concatenate(members)
-                    each = np.repeat(score, [len(m) for m in members])
-                    other = every != asked_ids[lo + i]
-                    every, each = every[other], each[other]
-                    best = np.lexsort((every, each))[:k]
-                    out.append((np.full(len(best), asked_ids[lo + i]), every[best], each[best]))
-        columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
-        return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
-
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    near = graphs.groupBy("shard", "block").cogroup(pairs.groupBy("shard", "block")).applyInArrow(look, schema)
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a place stand together, its graph before its queries."""
+        now, shard = None, None
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            places = list(zip(*(b.column(c).to_pylist() for c in place)))
+            at = 0
+            while at < len(ids):
+                if ids[at] is None:
+                    now = places[at]
+                    shard = _Shard(now[0], *(b.column(c)[at].as_py() for c in graph))
+                    at += 1
+                    continue
+                end = at
+                while end < len(ids) and end - at < BATCH and ids[end] is not None and places[end] == now:
+                    end += 1
+                if end == at:  # a shard that no vector was dealt to
+                    at += 1
+                    continue
+                q = b.column("v").slice(at, end - at).flatten().to_numpy(zero_copy_only=False).reshape(end - at, now[0])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(shard.nearest(np.array(ids[at:end]), q, k, beam), arrow)], schema=arrow)
+                at = end
+
+    # more partitions than places, as places are dealt by hash
+    parts = max(1, min(4 * index.count() * blocks, MOST_PARTS))
+    together = held.unionByName(wanted).repartition(parts, *place).sortWithinPartitions(*place, F.col("id").asc_nulls_first())
+    near = together.mapInArrow(look, schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -247,7 +283,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
     Ties go to the smaller id.  Repeated ids: rows of a query's own id are no candidates; repeated
     queries are asked once.  Fewer than k candidates give fewer rows, an empty table none.
     """
-    index, path, dim = build_index(df, vec_id, vector, rows_per_shard)
-    out, _ = write_table(search(index, queries, dim, k, vec_id, vector, beam), "nearest")
+    index, path = build_index(df, vec_id, vector, rows_per_shard)
+    out = write_result(search(index, queries, k, vec_id, vector, beam), "nearest")
     drop_table(df.sparkSession, path)
     return out

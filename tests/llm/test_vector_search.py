@@ -62,6 +62,22 @@ def test_ties_copies_and_odd_vectors(spark):
         assert got == brute(clean, [(i, v) for i, v in clean if i in (0, 7, 102)], 10)
 
 
+@pytest.mark.parametrize("per_block", [1 << 17, 7])
+def test_vectors_of_several_lengths(spark, per_block):
+    """Each is searched among those of its own length."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=2 + i % 3).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for per in (1000, 10):
+        index, _ = vs.build_index(df, rows_per_shard=per)
+        got = gathered(vs.search(index, df.where("vec_id < 60"), k=5, per_block=per_block))
+        for n in (2, 3, 4):
+            mine = [x for x in rows if len(x[1]) == n]
+            want = brute(mine, [x for x in mine if x[0] < 60], 5)
+            assert {q: v for q, v in got.items() if q in want} == want
+        assert len(got) == 60
+
+
 def test_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     one = spark.createDataFrame([(1, [1.0])], schema)

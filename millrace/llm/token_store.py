@@ -13,11 +13,13 @@ trained on serialized id arrays.  A short document is read by its block's offset
 rest of the payload is not decompressed, and without ids wanted the payload column is not read at all.
 
 Order.  Shards are ranges of doc_id, cut at quantiles of the doc_id column; in a shard rows are sorted
-by doc_id, nulls first, and equal ids by their frames.  Rows of one id stay in one shard.
+by doc_id, nulls first, and equal ids by their frames.  Rows of one id stay in one shard; a task finds a
+row's shard by bisection.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -33,9 +35,12 @@ from .byte_bpe import byte_bpe
 from .common import binaries, input_bytes, map_batches, slices, text_column, texts, tokenizer_path
 
 BLOCK_BYTES = 1 << 20
-#: Bytes of documents' ids, before compression, that the dictionary is trained on, and its size.
-TRAIN_DOCS, DICT_BYTES = 2000, 64 * 1024
-SHARD_BYTES = 32 << 20
+#: Documents that the dictionary is trained on, how many ids one of them may have, and the dictionary's size.
+TRAIN_DOCS, TRAIN_TOKENS, DICT_BYTES = 2000, 4096, 64 * 1024
+#: Input bytes of a shard; shards are larger once there would be more than MOST_SHARDS, whose bounds go to every task.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 100_000
+#: Ids for each shard that bounds are taken from where ids are no numbers, and such ids at most.
+BOUND_IDS, MOST_BOUND_IDS = 64, 1_000_000
 #: A file's row groups, which readers take one at a time.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -64,9 +69,10 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b""
 
 
-def _encoded(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int, dictionary: bytes, level: int) -> DataFrame:
-    """doc_id, n_tokens and the compressed frame of each text's ids with the end id."""
-    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("frame", T.BinaryType())])
+def _encoded(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int, dictionary: bytes, level: int, bounds: list | None = None) -> DataFrame:
+    """doc_id, n_tokens, the compressed frame of each text's ids with the end id, and how many of the sorted bounds its id has reached."""
+    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("frame", T.BinaryType()), T.StructField("shard", T.IntegerType())])
+    cuts = df.sparkSession.sparkContext.broadcast(bounds or [])  # MOST_SHARDS ids at most
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = byte_bpe(tokenizer_path(tokenizer))
@@ -77,11 +83,23 @@ def _encoded(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int,
             packed += end
             counts.append(len(packed) // bpe.dtype.itemsize)
             frames.append(compress(packed))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), binaries(frames)], names=schema.fieldNames())
+        shards = [0 if d is None else bisect.bisect_right(cuts.value, d) for d in b.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), binaries(frames), pa.array(shards, pa.int32())], names=schema.fieldNames())
 
     return map_batches(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), work, schema)
 
 
+def shard_bounds(ids: DataFrame, shards: int) -> list:
+    """At most shards - 1 ids, sorted and distinct, that cut the ids of column doc_id into parts of about equal size."""
+    if shards < 2:
+        return []
+    if isinstance(ids.schema["doc_id"].dataType, T.NumericType) and not isinstance(ids.schema["doc_id"].dataType, T.DecimalType):
+        return sorted(set(ids.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100_000)).first()[0] or []))
+    # the ids whose hashes are smallest, whatever they are
+    some = sorted(r[0] for r in ids.where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id")).limit(min(BOUND_IDS * shards, MOST_BOUND_IDS)).collect())
+    return sorted({some[len(some) * i // shards] for i in range(1, shards)}) if some else []
+
+
 def write_store(
     df: DataFrame,
     path: str,
@@ -97,19 +115,19 @@ def write_store(
 
     A null or empty text has the end id only; a null id comes first; repeated ids keep all their rows,
     in one shard, equal rows in any order.  Other columns are not looked at.  An empty table gives a
-    store without blocks.  The dictionary is trained on the ids of the `train_docs` documents whose
-    ids' hashes are smallest; it changes the files' size only, never what is read back.
+    store without blocks.  Ids may be of any type that has an order.  The dictionary is trained on those of
+    the `train_docs` documents whose ids' hashes are smallest that have TRAIN_TOKENS ids at most; it
+    changes the files' size only, never what is read back, and so do the shards.
     """
     spark = df.sparkSession
     doc_id, text = text_column(df, doc_id), text_column(df, text)
-    key = F.col("doc_id")
     ids = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # the smallest hashes' bound first, from the id column alone; then only those rows' texts are read
     least = ids.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
     samples: list[bytes] = []
     if least is not None:
         chosen = ids.where(F.xxhash64("doc_id") <= F.lit(least)).limit(4 * train_docs)
-        raw = _encoded(chosen, "doc_id", "text", tokenizer, end_id, b"", 1).select("frame")
+        raw = _encoded(chosen, "doc_id", "text", tokenizer, end_id, b"", 1).where(F.col("n_tokens") <= TRAIN_TOKENS).select("frame")
         back = _coder(b"", 1)[1]
         samples = [back.decompress(bytes(r[0])) for r in raw.toLocalIterator()]
     dictionary = train_dictionary(samples)
@@ -117,16 +135,10 @@ def write_store(
     width = byte_bpe(tokenizer_path(tokenizer)).dtype.itemsize
     spark.createDataFrame([(dictionary, sha, width)], "dictionary binary, dict_sha256 string, id_bytes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
-    shards = shards or max(1, min(100_000, input_bytes(df) // SHARD_BYTES), spark.sparkContext.defaultParallelism)
-    at = [i / shards for i in range(1, shards)]
-    cuts = ids.agg(F.percentile_approx("doc_id", at, 100_000)).first()[0] if at else []
-    bounds = sorted(set(cuts or []))
-
-    encoded = _encoded(ids, "doc_id", "text", tokenizer, end_id, dictionary, level)
-    # one comparison tree in Catalyst; bounds are as many as shards
-    n = len(bounds) + 1
-    shard = F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)).cast("int")
-    dealt = encoded.withColumn("shard", shard).repartitionById(n, F.col("shard")) if hasattr(encoded, "repartitionById") else encoded.withColumn("shard", shard).repartition(n, "shard")
+    shards = shards or max(1, min(MOST_SHARDS, input_bytes(df) // SHARD_BYTES), spark.sparkContext.defaultParallelism)
+    bounds = shard_bounds(ids.select("doc_id"), shards)
+    encoded = _encoded(ids, "doc_id", "text", tokenizer, end_id, dictionary, level, bounds)
+    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard"))
     ordered = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
     schema = T.StructType(
         [
@@ -229,5 +241,5 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True, doc_ids: l
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 256]), arrow)], schema=arrow)
 
     docs = blocks.select("shard", "dict_sha256", "doc_ids", "starts", "n_tokens", "offsets", "payload").mapInArrow(work, schema)
-    # bases has one row a shard, and shards are at most 100,000
+    # bases has one row a shard, and shards are at most MOST_SHARDS
     return docs.join(F.broadcast(bases), "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), *schema.fieldNames()[3:])

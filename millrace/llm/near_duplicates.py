@@ -23,6 +23,10 @@ of one centre that have too little in common with it must share shingles that th
 are found by those.  So no link between classes is lost, and no list of a bucket's pairs is made: a
 group of n variants of one text costs n comparisons.
 
+What is known of whole buckets (their sizes, centres and largest classes) is counted in partial sums and
+written before nodes are joined with it.  So a stage that deals nodes by their buckets holds nothing but
+the join, and adaptive execution deals a large bucket's nodes to several tasks.
+
 Verification.  A link is a pair whose sets of shingles have a Jaccard similarity of 0.8 or more,
 computed from the whole sets of 40-bit hashes.  Classes are the connected components of links.
 """
@@ -30,6 +34,7 @@ computed from the whole sets of 40-bit hashes.  Classes are the connected compon
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, binaries, drop_table, groups_of, mix64, serve, slices, text_column, texts, write_table
+from .common import SLICE_ROWS, binaries, drop_table, groups_of, mix64, serve, slices, text_column, texts, write_result, write_table
 from .wordvec import Words, windows, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -216,7 +221,7 @@ def linked(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     own = _own(sets)
     stay = met.join(own.withColumnRenamed("node", "_node"), F.xxhash64("key") == F.col("_node"), "left").withColumn("own", F.coalesce("own", F.lit(0)))
     stay, stay_path = write_table(stay.where(F.col("own") <= F.col("n_shingles") * (1 - threshold) + 1e-9).select("bucket", "key", "n_shingles", (F.col("n_shingles") - F.col("own")).alias("most")), "members")
-    sizes = stay.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes, sizes_path = write_table(stay.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     still = stay.join(sizes, "bucket")
     degree = still.groupBy("key").agg(F.sum("n").alias("degree"))
     # each node with its size, the most it can have in common with others, a centre that it was compared
@@ -224,7 +229,7 @@ def linked(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     columns = ["bucket", "key", "n_shingles", "most", "degree", "hub", "inter", "label"]
     begun = still.select("bucket", "key", "n_shingles", "most").join(degree, "key").withColumns({"hub": F.col("key"), "inter": F.col("n_shingles"), "label": F.col("key")})
     members, members_path = write_table(begun.select(*columns), "members")
-    drop_table(spark, met_path, stay_path)
+    drop_table(spark, met_path, stay_path, sizes_path)
 
     def enough(common: F.Column, n: F.Column, m: F.Column) -> F.Column:
         """Whether sets of n and m with so much in common are similar."""
@@ -255,7 +260,7 @@ def linked(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
         return components(made.where(enough(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"))
 
     top = members.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), *columns[1:])).alias("c"))
-    tops = renamed(top.select("bucket", *[F.col(f"c.{c}").alias(c) for c in columns[1:]]), "bucket")
+    tops, tops_path = write_table(renamed(top.select("bucket", *[F.col(f"c.{c}").alias(c) for c in columns[1:]]), "bucket"), "centres")
     counted = compare(members.join(tops, "bucket").where(may_be_similar), True)
     label, label_paths = classes()
     # of a node's centres the one that meets most nodes is the one that it has in common with most of them
@@ -265,8 +270,10 @@ def linked(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     now, now_path = write_table(now.select(*columns), "members")
     of_class = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = of_class.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.col("m.label").alias("largest"))
-    drop_table(spark, members_path)
+    largest, largest_path = write_table(largest, "largest")
+    drop_table(spark, members_path, tops_path)
     members, open_path = write_table(now.join(largest, "bucket"), "members")
+    drop_table(spark, largest_path)
     minority = members.where("label <> largest")
     # variants of one hub meet by shingles that it lacks, others in their buckets
     tokens, tokens_path = write_table(_beyond(members.select("key", "hub").distinct(), sets), "beyond")
@@ -279,20 +286,26 @@ def linked(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     return label, label_paths
 
 
+def _drawn(key: F.Column, turn: int) -> F.Column:
+    """A key behind its hash of this turn, by which it is compared."""
+    return F.struct(F.xxhash64(key, F.lit(turn)).alias("hash"), key.alias("key"))
+
+
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
-    """key and label (the least key of its component, or another one of it) of every key in edges (a, b).
+    """key and label (one key of its component) of every key in edges (a, b).
 
-    Each round maps every node to the least of itself and its neighbours and contracts the edges by
-    that map, until no edge is left; maps are composed on the way.  Rounds grow as the logarithm of
-    the number of nodes on paths, not with the number of nodes.
+    Each round maps every node to that of itself and its neighbours which has the least hash, and contracts
+    the edges by that map, until no edge is left; maps are composed on the way.  Hashes are drawn anew in each
+    round, so that a share of the nodes goes in every round, however keys are ordered: rounds are expected to
+    grow as the logarithm of the number of nodes.
     """
     spark = edges.sparkSession
     paths: list[str] = []
     label: DataFrame | None = None
     path = None
-    while True:
+    for turn in itertools.count():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to, to_path = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "parents")
+        to, to_path = write_table(both.groupBy("a").agg(F.min(_drawn(F.col("b"), turn)).alias("b")).select("a", F.least(F.col("b"), _drawn(F.col("a"), turn))["key"].alias("to")), "parents")
         if label is None:
             label, path = to.select(F.col("a").alias("key"), F.col("to").alias("label")), to_path
         else:
@@ -348,7 +361,7 @@ def find(
     labelled = contents.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     of_key = labelled.select("key", "label").join(sizes, "label").select("key", "class_id", "class_size")
-    out, _ = write_table(
+    out = write_result(
         keyed.join(of_key, "key", "left").select(
             "doc_id",
             F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -377,9 +390,9 @@ def keep_first(
     contents = keyed.where("key is not null").groupBy("key").agg(F.min(order).alias("least"), F.count("*").alias("n"))
     labelled = contents.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     best = labelled.groupBy("label").agg(F.min(F.struct("least", "key")).alias("best"), F.sum("n").alias("rows")).where("rows > 1")
-    verdict, _ = write_table(labelled.select("key", "label").join(best, "label").select("key", (F.col("best.key") == F.col("key")).alias("stays")), "verdicts")
+    verdict = write_result(labelled.select("key", "label").join(best, "label").select("key", (F.col("best.key") == F.col("key")).alias("stays")), "verdicts")
     drop_table(spark, *temporary)
-    made, _ = write_table(_filter_of(verdict), "filter")
+    made = write_result(_filter_of(verdict), "filter")
 
     inner = [f"c{i}" for i in range(len(df.columns))]
     plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, inner)])

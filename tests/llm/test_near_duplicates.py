@@ -134,6 +134,33 @@ def test_components_of_paths_and_stars(spark):
     assert groups == [list(range(41)), list(range(100, 160)), [200, 201]]
 
 
+def test_components_of_an_ordered_path_need_few_rounds(spark, monkeypatch):
+    """Keys in ascending order along a path: rounds grow as the logarithm of its length."""
+    rounds = []
+    write = nd.write_table
+    monkeypatch.setattr(nd, "write_table", lambda df, what, *a, **k: (rounds.append(what), write(df, what, *a, **k))[1])
+    edges = [(i.to_bytes(4, "big"), (i + 1).to_bytes(4, "big")) for i in range(128)]
+    label, _ = nd.components(spark.createDataFrame(edges, "a binary, b binary"))
+    assert label.select("label").distinct().count() == 1 and label.count() == 129
+    assert rounds.count("edges") <= 14
+
+
+def test_groups_of_variants_that_meet_in_common_buckets(spark, copies):
+    """Several groups of variants of one passage, beside the other copies."""
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(x["doc_id"], x["text"]) for x in copies.collect()]
+    for group in range(3):
+        own = [f"g{group}x{i}" for i in range(25)]
+        for _ in range(10):
+            words = passage + own
+            words[r.randrange(len(words))] = f"v{r.randrange(10**6)}"
+            rows.append((1000 + len(rows), " ".join(words)))
+    want = partition((d, c) for (d, _), c in zip(rows, plain_classes(rows)))
+    got = nd.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert partition((x["doc_id"], x["class_id"]) for x in got) == want
+
+
 def test_repetitions_do_not_part_links(spark):
     # each pair has nearly equal sets of shingles, of which the second text repeats some 40 times
     rows = []

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors
@@ -89,3 +90,13 @@ def check_iterations(value: int) -> None:
 def check_tolerance(value: float) -> None:
     if not math.isfinite(value) or value <= 0:
         raise errors.InvalidTolerance(value=value)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where they are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/millrace"

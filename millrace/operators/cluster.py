@@ -17,7 +17,7 @@ from .. import errors
 from ..dataset import Dataset, check_width, col
 from ..functions.expressions import LOG_2PI, argmax, dot, number, softmax, squared_distance, total
 from ..plans.aggregates import moments, sum_over
-from .base import Classifier, Transformer, TransformerEstimator, check_iterations, check_tolerance
+from .base import Classifier, Transformer, TransformerEstimator, check_iterations, check_tolerance, shared_folder
 
 
 # --- k-means ---------------------------------------------------------------------------------------
@@ -126,8 +126,7 @@ class FittedKMeans(Transformer):
 
 def _shared(spark: SparkSession) -> str:
     """A new place in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/millrace"
-    return f"{base.rstrip('/')}/millrace/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _cut(df: DataFrame) -> DataFrame:

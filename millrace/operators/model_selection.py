@@ -296,15 +296,19 @@ def _curve(points: list, folds: list[int], one: Callable[[Any, int], tuple[float
     return CurveScores(both[:, :, 0], both[:, :, 1])
 
 
-def learning_curve(estimator: Estimator, sizes: Sequence[int], data: Dataset, scorer: Scorer, fold: str = "fold", parallel: int = 1) -> CurveScores:
-    """Scores of fits on the first rows, by row_id, of each fold's training rows."""
+def learning_curve(estimator: Estimator, sizes: Sequence[int | float], data: Dataset, scorer: Scorer, fold: str = "fold", parallel: int = 1) -> CurveScores:
+    """Scores of fits on the first rows, by row_id, of each fold's training rows.
+
+    A size is a number of rows, or, as a float of at most 1, a share of them (rounded down).
+    """
     if not sizes:
         raise errors.EmptyCurvePoints()
     folds = _fold_numbers(data.df, fold)
 
-    def one(size: int, k: int) -> tuple[float, float]:
+    def one(size: int | float, k: int) -> tuple[float, float]:
         train, test = data.df.where(col(fold) != k), data.with_df(data.df.where(col(fold) == k))
         n = train.count()
+        size = math.floor(size * n) if isinstance(size, float) else size
         if size > n or size < 1:
             raise errors.InsufficientSamples(required=size, actual=n)
         part = data.with_df(ranked(train, order_key(data, False, 0), "_place").where(F.col("_place") < size).drop("_place"))

@@ -26,7 +26,8 @@ from .. import errors
 from ..dataset import Dataset
 from ..functions.cart import Limits, Tree, gini, grow, leaf_value, variance
 from ..functions.expressions import number, sigmoid
-from .base import Classifier, Estimator, Predictor
+from .model_selection import order_key, ranked
+from .base import Classifier, Estimator, Predictor, shared_folder
 
 LOCAL_ROWS = 200_000
 #: Trees of up to so many leaves in all are applied as CASE expressions, larger ones over Arrow batches.
@@ -77,8 +78,7 @@ def _leaf_column(tree: Tree, xs: list[Column]) -> Column:
 
 def _cut(df: DataFrame) -> DataFrame:
     """df as a written table in the folder that executors share."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/millrace"
-    path = f"{base.rstrip('/')}/millrace/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -305,13 +305,13 @@ class _Forest(_TreeParams):
         per, limits, seed = features_per_split(self.max_features, p), self.limits, self.seed
         spark = data.df.sparkSession
         if n > self.local_rows:
-            # draws with replacement become counts by a hash of the row: Poisson with mean 1
-            cumulative = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+            # n draws of n places, each row's place being its rank: equal rows are drawn each for itself
+            placed = _cut(ranked(data.df, order_key(data, False, 0) if data.row_id else data.xs, "_place"))
+            count = F.col("_times").cast("double")
             made = []
             for t in range(self.n_estimators):
-                u = (F.xxhash64(data.row.cast("string") if len(data.row_id) == 1 else F.to_json(F.struct(*data.xs)), F.lit(seed), F.lit(t)).bitwiseAND(F.lit((1 << 52) - 1))) / float(1 << 52)
-                count = sum([(u > float(c)).cast("double") for c in cumulative[1:]], (u > float(cumulative[0])).cast("double"))
-                frame = _frame(data, [s * count for s in stats], count).where("c > 0")
+                draws = spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(t)), F.lit(n)).alias("_place")).groupBy("_place").agg(F.count("*").alias("_times"))
+                frame = _frame(data.with_df(placed.join(draws, "_place")), [s * count for s in stats], count)
                 made.append(grow_distributed(frame, p, m, kind, limits, per, seed + t, self.local_rows))
             return made
         held = spark.sparkContext.broadcast(_arrays(_ordered(data), [*data.xs, *stats]))  # local_rows rows at most

@@ -6,7 +6,6 @@ against known results instead.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from .dataset import Dataset, col
 from .operators import cluster, decomposition, feature_selection, inspection, linear, metrics, naive_bayes, neighbors, preprocessing, trees
 from .operators import model_selection as ms
+from .operators.base import shared_folder
 from .operators.pipeline import Pipeline
 from .sources import models, tables
 
@@ -70,7 +70,7 @@ SCALED = ["l_quantity", "l_discount", "l_tax"]
 
 @query("SELECT cast(p_size AS DOUBLE) AS p_size, round(p_retailprice, 4) + 0.0 AS p_retailprice, cast(p_partkey AS DOUBLE) AS target FROM part")
 def csv_load(spark, sf_dir):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/part_csv"
+    path = f"{shared_folder(spark)}/part_csv"
     table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_partkey").write.mode("overwrite").csv(path, header=True)
     data = tables.dataset_from_csv(spark, path, 2)
     return data.df.select(F.col("f0").alias("p_size"), r("f1", 4).alias("p_retailprice"), "target")
@@ -475,34 +475,36 @@ def bernoulli_nb(spark, sf_dir):
 # --- neighbours ------------------------------------------------------------------------------------
 
 
-def _customers(spark, sf_dir, target: str) -> tuple[Dataset, Dataset]:
-    df = table(spark, sf_dir, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
-    made = Dataset(df, ["c_acctbal", "c_nationkey"], target, "c_custkey")
-    return made.with_df(df.where("c_custkey % 10 <> 0")), made.with_df(df.where("c_custkey % 10 = 0"))
+def _accounts(spark, sf_dir, target: str) -> tuple[Dataset, Dataset]:
+    """All customers, among whom the nearest are looked for, and all suppliers, who ask."""
+    customers = table(spark, sf_dir, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").cast("double").alias("nation"))
+    features = ["c_acctbal", "nation"]
+    return Dataset(customers, features, target, "c_custkey"), Dataset(suppliers, features, None, "s_suppkey")
 
 
-NEAR = """WITH near AS (SELECT q.c_custkey AS query, t.c_custkey AS id, t.c_mktsegment AS label, t.c_acctbal AS y, sqrt((q.c_acctbal - t.c_acctbal) ** 2 + (q.c_nationkey - t.c_nationkey) ** 2) AS d,
-row_number() OVER (PARTITION BY q.c_custkey ORDER BY sqrt((q.c_acctbal - t.c_acctbal) ** 2 + (q.c_nationkey - t.c_nationkey) ** 2), t.c_custkey) AS k
-FROM customer q, customer t WHERE q.c_custkey % 10 = 0 AND t.c_custkey % 10 <> 0 QUALIFY k <= 5)
+NEAR = """WITH near AS (SELECT q.s_suppkey AS query, t.c_custkey AS id, t.c_mktsegment AS label, t.c_custkey AS y, sqrt((q.s_acctbal - t.c_acctbal) ** 2 + (q.s_nationkey - t.c_nationkey) ** 2) AS d,
+row_number() OVER (PARTITION BY q.s_suppkey ORDER BY sqrt((q.s_acctbal - t.c_acctbal) ** 2 + (q.s_nationkey - t.c_nationkey) ** 2), t.c_custkey) AS k
+FROM supplier q, customer t QUALIFY k <= 5)
 """
 
 
 @query(NEAR + "SELECT query, k::INTEGER AS rank, id AS train_id, round(d, 6) + 0.0 AS distance FROM near")
 def nearest_neighbors(spark, sf_dir):
-    train, asked = _customers(spark, sf_dir, "c_mktsegment")
+    train, asked = _accounts(spark, sf_dir, "c_mktsegment")
     return neighbors.nearest_neighbors(train, asked, 5).select("query", "rank", "train_id", r("distance").alias("distance"))
 
 
-@query(NEAR + ", v AS (SELECT query, label, count(*) AS n FROM near GROUP BY ALL) SELECT query AS c_custkey, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1")
+@query(NEAR + ", v AS (SELECT query, label, count(*) AS n FROM near GROUP BY ALL) SELECT query AS s_suppkey, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1")
 def knn_classify(spark, sf_dir):
-    train, asked = _customers(spark, sf_dir, "c_mktsegment")
-    return neighbors.KNeighborsClassifier(5).fit(train).predict(asked).select("c_custkey", "prediction")
+    train, asked = _accounts(spark, sf_dir, "c_mktsegment")
+    return neighbors.KNeighborsClassifier(5).fit(train).predict(asked).select("s_suppkey", "prediction")
 
 
-@query(NEAR + "SELECT query AS c_custkey, round(CASE WHEN min(d) <= 1e-12 THEN arg_min(y, k) ELSE sum(y / d) / sum(1 / d) END, 4) + 0.0 AS prediction FROM near GROUP BY query")
+@query(NEAR + "SELECT query AS s_suppkey, round(CASE WHEN min(d) <= 1e-12 THEN arg_min(y, k) ELSE sum(y / d) / sum(1 / d) END, 4) + 0.0 AS prediction FROM near GROUP BY query")
 def knn_regress_distance(spark, sf_dir):
-    train, asked = _customers(spark, sf_dir, "c_acctbal")
-    return rounded(neighbors.KNeighborsRegressor(5, "distance").fit(train).predict(asked), ["c_custkey"], ["prediction"], 4)
+    train, asked = _accounts(spark, sf_dir, "c_custkey")
+    return rounded(neighbors.KNeighborsRegressor(5, "distance").fit(train).predict(asked), ["s_suppkey"], ["prediction"], 4)
 
 
 # --- decomposition and clusters --------------------------------------------------------------------
@@ -643,6 +645,39 @@ _ensemble("gradient_boosting_classifier", trees.GradientBoostingClassifier(n_est
 _ensemble("gradient_boosting_regressor", trees.GradientBoostingRegressor(n_estimators=10), True)
 _ensemble("adaboost_classifier", trees.AdaBoostClassifier(n_estimators=10), False)
 
+
+def _boosted(stump: str, value: str) -> str:
+    """What one round on a stump predicts for every row: `value` of the leaf's mean m and of all rows' mean p."""
+    return f"WITH best AS ({stump}), q AS (SELECT *, CASE WHEN (CASE feature WHEN 0 THEN p_size ELSE p_retailprice END) <= threshold THEN low ELSE high END AS m FROM part, best) SELECT p_partkey, {value} AS prediction FROM q, (SELECT avg(y) AS p FROM (SELECT *, {{y}} AS y FROM part))"
+
+
+SIZED = "p_size * 2.0 + CASE WHEN p_retailprice > 1200 THEN 60 ELSE 0 END"
+
+
+@query(_boosted(REGRESSION_STUMP, "round(p + 0.1 * (m - p), 4) + 0.0").format(y=SIZED))
+def gradient_boosting_round(spark, sf_dir):
+    """One round of depth 1, grown over Spark: the mean, and a tenth of the way to the leaf's."""
+    df = table(spark, sf_dir, "part").withColumn("y", F.expr(SIZED.replace("2.0", "2.0D")))
+    data = Dataset(df, ["p_size", "p_retailprice"], "y", "p_partkey")
+    model = trees.GradientBoostingRegressor(n_estimators=1, max_depth=1, local_rows=10).fit(data)
+    return rounded(model.predict(data), ["p_partkey"], ["prediction"], 4)
+
+
+@query(_boosted(CLASS_STUMP, "ln(p / (1 - p)) + (m - p) / (p * (1 - p)) >= 0").format(y="(p_size > 30 OR p_retailprice > 1800)::INT"))
+def gradient_boosting_class_round(spark, sf_dir):
+    """One round of depth 1: a Newton step from the classes' log odds."""
+    data = _large(spark, sf_dir)
+    model = trees.GradientBoostingClassifier(n_estimators=1, max_depth=1, learning_rate=1.0).fit(data)
+    return model.predict(data).select("p_partkey", "prediction")
+
+
+@query(_boosted(CLASS_STUMP, "m > 0.5").format(y="(p_size > 30 OR p_retailprice > 1800)::INT"))
+def adaboost_round(spark, sf_dir):
+    """One round: the stump's own prediction."""
+    data = _large(spark, sf_dir)
+    return trees.AdaBoostClassifier(n_estimators=1).fit(data).predict(data).select("p_partkey", "prediction")
+
+
 # --- model selection -------------------------------------------------------------------------------
 
 FOLDS = "SELECT o_orderkey::DOUBLE AS x, o_totalprice AS y, (row_number() OVER (ORDER BY md5(concat_ws('-', o_orderkey::VARCHAR, '42')), o_orderkey) - 1) AS p, count(*) OVER () AS n FROM orders"
@@ -686,24 +721,45 @@ def validation_curve(spark, sf_dir):
     return spark.createDataFrame(rows, "alpha double, fold int, test_score double").withColumn("test_score", r("test_score", 0))
 
 
-@query()
+SEARCHED = ms.ParameterGrid().with_parameter("alpha", ALPHAS)
+#: The operator draws by a generator of its own; what is checked is what becomes of the draws.
+DRAWN = ", ".join(f"({p['alpha']})" for p in SEARCHED.sample_combinations(4, 7))
+
+
+@query(_cv_sql(ALPHAS) + f", m AS (SELECT a, avg(score) AS score FROM s GROUP BY a) SELECT a::DOUBLE AS alpha, round(score, 0) + 0.0 AS mean_score, (rank() OVER (ORDER BY score))::INTEGER AS rank FROM m JOIN (VALUES {DRAWN}) t(d) ON a = d")
 def randomized_search(spark, sf_dir):
-    grid = ms.ParameterGrid().with_parameter("alpha", ALPHAS)
-    found = ms.randomized_search_parallel(grid, 4, 7, lambda p: linear.RidgeRegression(p["alpha"]), folded(spark, sf_dir), metrics.mean_squared_error, ms.MINIMIZE)
-    return spark.createDataFrame([(e.parameters["alpha"], float(e.mean_score), e.rank) for e in found.entries], "alpha double, mean_score double, rank int")
+    found = ms.randomized_search_parallel(SEARCHED, 4, 7, lambda p: linear.RidgeRegression(p["alpha"]), folded(spark, sf_dir), metrics.mean_squared_error, ms.MINIMIZE)
+    rows = [(e.parameters["alpha"], float(e.mean_score), e.rank) for e in found.entries]
+    return spark.createDataFrame(rows, "alpha double, mean_score double, rank int").withColumn("mean_score", r("mean_score", 0))
 
 
-@query()
+SHARES = [0.1, 0.5, 1.0]
+LEARNING = _cv_sql([1.0]).split("f AS (")[0] + """tr AS (SELECT k.fold AS k, x, y, row_number() OVER (PARTITION BY k.fold ORDER BY x) AS place, count(*) OVER (PARTITION BY k.fold) AS n FROM d, (SELECT DISTINCT fold FROM d) k WHERE d.fold <> k.fold),
+f AS (SELECT k, share, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v FROM tr, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) t(share) WHERE place <= floor(share * tr.n) GROUP BY ALL)
+SELECT share, k::INTEGER AS fold, round(avg((y - my - n * c / (n * v + 1) * (x - mx)) ** 2), 0) + 0.0 AS test_score FROM d JOIN f ON d.fold = f.k GROUP BY share, k"""
+
+
+@query(LEARNING)
 def learning_curve(spark, sf_dir):
-    found = ms.learning_curve(linear.RidgeRegression(1.0), [50, 100], folded(spark, sf_dir), metrics.mean_squared_error, parallel=4)
-    return spark.createDataFrame([(n, k, float(v)) for n, scores in zip([50, 100], found.test_scores) for k, v in enumerate(scores)], "size int, fold int, test_score double")
+    """Fits on shares of each fold's training rows, up to all of them."""
+    found = ms.learning_curve(linear.RidgeRegression(1.0), SHARES, folded(spark, sf_dir), metrics.mean_squared_error, parallel=4)
+    rows = [(n, k, float(v)) for n, scores in zip(SHARES, found.test_scores) for k, v in enumerate(scores)]
+    return spark.createDataFrame(rows, "share double, fold int, test_score double").withColumn("test_score", r("test_score", 0))
 
 
-@query()
+def _dealt(feature: int, repeat: int) -> str:
+    """Mean squared change of 2 * p_size when its values change places, by the operator's order of md5."""
+    seed = hash((42, feature, repeat)) % (1 << 31)
+    return f"""SELECT avg((2.0 * a.p_size - 2.0 * b.p_size) ** 2) AS score FROM (SELECT p_size, row_number() OVER (ORDER BY p_partkey) AS place FROM part) a
+JOIN (SELECT p_size, row_number() OVER (ORDER BY md5(concat_ws('-', p_partkey::VARCHAR, '{seed}')), p_partkey) AS place FROM part) b ON a.place = b.place"""
+
+
+@query(f"SELECT 'p_size' AS feature, round(avg(score), 4) + 0.0 AS importance FROM ({_dealt(0, 0)} UNION ALL {_dealt(0, 1)}) UNION ALL SELECT 'p_retailprice', 0.0")
 def permutation_importance(spark, sf_dir):
     data = Dataset(table(spark, sf_dir, "part").withColumn("y", F.expr("p_size * 2.0D")), ["p_size", "p_retailprice"], "y", "p_partkey")
     found = inspection.permutation_importance(linear.LinearRegression().fit(data), data, metrics.mean_squared_error, ms.MINIMIZE, 2, parallel=4)
-    return spark.createDataFrame(list(zip(data.features, map(float, found.importances_mean))), "feature string, importance double")
+    rows = list(zip(data.features, map(float, found.importances_mean)))
+    return spark.createDataFrame(rows, "feature string, importance double").withColumn("importance", r("importance", 4))
 
 
 FLAGSHIP = """WITH s AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a, (l_discount - avg(l_discount) OVER ()) / stddev_pop(l_discount) OVER () AS b, {y} AS y FROM lineitem),

@@ -441,3 +441,22 @@ def test_trees_over_arrays_graft():
         rows = np.flatnonzero(top.leaves(x) == leaf)
         top.graft(leaf, cart.grow(x[rows], stats[rows], np.ones(len(rows)), "variance", cart.Limits(), depth=1))
     assert [top.value[i][0] for i in top.leaves(x)] == list(range(6))
+
+
+def test_forests_draw_as_many_rows_as_there_are_at_every_size(spark):
+    """Bootstraps of n draws, grown over arrays and over Spark; rows that are all alike are drawn each for itself."""
+    alike = spark.range(400).select(F.lit(1.0).alias("x"), (F.col("id") % 2).cast("double").alias("y"), "id")
+    for row_id in ((), ("id",), ("y", "id")):
+        data = Dataset(alike, ["x"], "y", row_id)
+        for local_rows in (1000, 50):
+            made = trees.RandomForestRegressor(n_estimators=3, local_rows=local_rows).fit(data).trees
+            means = [float(t.value[0][0]) for t in made]
+            assert [t.rows[0] for t in made] == [400] * 3
+            assert len(set(means)) > 1 and all(0.3 < m < 0.7 for m in means)
+
+
+def test_learning_curve_takes_shares(spark):
+    data = Dataset(spark.range(90).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"), (F.col("id") % 3).cast("int").alias("fold")), ["x"], "y", "id")
+    shares = ms.learning_curve(linear.LinearRegression(), [0.5, 1.0], data, metrics.mean_squared_error)
+    rows = ms.learning_curve(linear.LinearRegression(), [30, 60], data, metrics.mean_squared_error)
+    assert np.allclose(shares.test_scores, rows.test_scores, atol=1e-12)

@@ -18,6 +18,7 @@ from ..dataset import Dataset, check_width, col
 from ..functions.expressions import LOG_2PI, argmax, dot, number, softmax, squared_distance, total
 from ..plans.aggregates import moments, sum_over
 from .base import Classifier, Transformer, TransformerEstimator, check_iterations, check_tolerance, shared_folder
+from .model_selection import ranked
 
 
 # --- k-means ---------------------------------------------------------------------------------------
@@ -55,7 +56,8 @@ class KMeans(TransformerEstimator):
         for j in range(1, k):
             d = F.array_min(F.array(*[squared_distance([F.col(c) for c in xs], list(c)) for c in centres]))
             # an exponential race: the least of -ln(u) / d falls on a row with a chance in proportion to d
-            u = (F.abs(F.xxhash64(F.col("_row").cast("string"), F.lit(self.seed), F.lit(j))).cast("double") + 1) / 9.3e18
+            hashed = F.md5(F.concat_ws("-", F.col("_row").cast("string"), F.lit(str(self.seed)), F.lit(str(j))))
+            u = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
             race = F.when(d > 0, -F.log(u) / d)
             found = frame.select(*xs, race.alias("race")).orderBy(F.col("race").asc_nulls_last(), *xs).limit(1).first()
             centres.append(found[:p])
@@ -183,14 +185,13 @@ class Dbscan:
             label = new
             if same:
                 break
-        # cluster numbers: ranks of the least core rows; as many rows as clusters
-        firsts = [r["label"] for r in label.select("label").distinct().orderBy("label").collect()]
-        numbers = data.df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(firsts)], f"label {label.schema['label'].dataType.simpleString()}, cluster int")
+        # cluster numbers: ranks of the least core rows
+        numbers = _cut(ranked(label.select("label").distinct(), [F.col("label")], "cluster").select("label", F.col("cluster").cast("int")))
         core = label.join(numbers, "label").select("id", "cluster")
         reached = pairs.join(core.withColumnsRenamed({"id": "other"}), "other").groupBy("id").agg(F.min("cluster").alias("reached"))
         labels = points.join(core, "id", "left").join(reached, "id", "left").select(*xs, F.coalesce("cluster", "reached").alias("cluster"))
         rows = _cut(named.join(labels, xs).select("row", "cluster"))
-        return FittedDbscan(rows, len(firsts))
+        return FittedDbscan(rows, numbers.count())
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,8 @@
 """Metrics of regression, classification and probabilities, each one aggregate or a small group-by.
 
 Functions take a DataFrame and the names of its columns.  Those that give several numbers return a
-DataFrame; the others a float.
+DataFrame; the others a float.  With row_id, the column or columns that identify and order the rows,
+errors name the first offending row.
 """
 
 from __future__ import annotations
@@ -27,40 +28,52 @@ def _finished(metric: str, value: float | None) -> float:
     return float(value)
 
 
+def _row(row_id: str | Sequence[str] | None) -> Column:
+    """What errors call a row: its id, or null if none is named."""
+    ids = [row_id] if isinstance(row_id, str) else list(row_id or ())
+    if not ids:
+        return F.lit(None).cast("string")
+    return col(ids[0]) if len(ids) == 1 else F.struct(*map(col, ids))
+
+
+def _first(bad: Column, row_id, *more: Column) -> Column:
+    """The first row that is bad, with what more is to be told of it; null if none is."""
+    return F.min(F.when(bad, F.struct(_row(row_id).alias("row"), *more)))
+
+
 # --- regression ------------------------------------------------------------------------------------
 
 
-def _pairs(df: DataFrame, actual: str, predicted: str, *more: Column):
+def _pairs(df: DataFrame, actual: str, predicted: str, row_id, *more: Column):
     a, p = col(actual).cast("double"), col(predicted).cast("double")
-    bad = lambda x: F.count_if(~finite(x))
-    row = df.agg(F.count("*").alias("n"), bad(a).alias("bad_a"), bad(p).alias("bad_p"), *more).first()
+    row = df.agg(F.count("*").alias("n"), _first(~finite(a), row_id).alias("bad_a"), _first(~finite(p), row_id).alias("bad_p"), *more).first()
     if not row["n"]:
         raise errors.EmptyMetricInput()
     if row["bad_a"]:
-        raise errors.NonFiniteActualTarget(row=None)
+        raise errors.NonFiniteActualTarget(row=row["bad_a"]["row"])
     if row["bad_p"]:
-        raise errors.NonFinitePrediction(row=None)
+        raise errors.NonFinitePrediction(row=row["bad_p"]["row"])
     return row
 
 
-def mean_squared_error(df: DataFrame, actual: str, predicted: str) -> float:
+def mean_squared_error(df: DataFrame, actual: str, predicted: str, row_id: str | Sequence[str] | None = None) -> float:
     d = col(actual).cast("double") - col(predicted)
-    return _finished("mean_squared_error", _pairs(df, actual, predicted, F.avg(d * d).alias("v"))["v"])
+    return _finished("mean_squared_error", _pairs(df, actual, predicted, row_id, F.avg(d * d).alias("v"))["v"])
 
 
-def root_mean_squared_error(df: DataFrame, actual: str, predicted: str) -> float:
-    return math.sqrt(mean_squared_error(df, actual, predicted))
+def root_mean_squared_error(df: DataFrame, actual: str, predicted: str, row_id: str | Sequence[str] | None = None) -> float:
+    return math.sqrt(mean_squared_error(df, actual, predicted, row_id))
 
 
-def mean_absolute_error(df: DataFrame, actual: str, predicted: str) -> float:
-    return _finished("mean_absolute_error", _pairs(df, actual, predicted, F.avg(F.abs(col(actual).cast("double") - col(predicted))).alias("v"))["v"])
+def mean_absolute_error(df: DataFrame, actual: str, predicted: str, row_id: str | Sequence[str] | None = None) -> float:
+    return _finished("mean_absolute_error", _pairs(df, actual, predicted, row_id, F.avg(F.abs(col(actual).cast("double") - col(predicted))).alias("v"))["v"])
 
 
-def r2_score(df: DataFrame, actual: str, predicted: str) -> float:
+def r2_score(df: DataFrame, actual: str, predicted: str, row_id: str | Sequence[str] | None = None) -> float:
     """1 less the ratio of squared errors to squared deviations; no value for constant targets."""
     a = col(actual).cast("double")
     d = a - col(predicted)
-    row = _pairs(df, actual, predicted, F.avg(d * d).alias("e"), F.var_pop(a).alias("v"))
+    row = _pairs(df, actual, predicted, row_id, F.avg(d * d).alias("e"), F.var_pop(a).alias("v"))
     if row["v"] == 0:
         raise errors.ConstantTargets()
     return _finished("r2_score", 1 - row["e"] / row["v"])
@@ -154,17 +167,26 @@ def _clamped(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1 - EPSILON))
 
 
-def _binary(df: DataFrame, actual: str, probability: str, positive, *more: Column):
+def _refuse(found) -> None:
+    """Raise the error of a probability, if one was found that is none."""
+    if found is not None and found["p"] is not None and math.isfinite(found["p"]):
+        raise errors.InvalidProbability(row=found["row"], value=found["p"])
+    if found is not None:
+        raise errors.NonFiniteProbability(row=found["row"])
+
+
+def _improper(p: Column) -> Column:
+    return ~finite(p) | (p < 0) | (p > 1)
+
+
+def _binary(df: DataFrame, actual: str, probability: str, positive, row_id, *more: Column):
     p = col(probability).cast("double")
     row = df.agg(
-        F.count("*").alias("n"), F.count_if(~finite(p)).alias("bad"), F.min(F.when((p < 0) | (p > 1), p)).alias("out"), F.count_distinct(col(actual)).alias("classes"), F.count_if(col(actual) == F.lit(positive)).alias("pos"), *more
+        F.count("*").alias("n"), _first(_improper(p), row_id, p.alias("p")).alias("bad"), F.count_distinct(col(actual)).alias("classes"), F.count_if(col(actual) == F.lit(positive)).alias("pos"), *more
     ).first()
     if not row["n"]:
         raise errors.EmptyMetricInput()
-    if row["bad"]:
-        raise errors.NonFiniteProbability(row=None)
-    if row["out"] is not None:
-        raise errors.InvalidProbability(row=None, value=row["out"])
+    _refuse(row["bad"])
     if row["classes"] != 2:
         raise errors.ExpectedBinaryTargets(classes=row["classes"])
     if not row["pos"]:
@@ -172,19 +194,19 @@ def _binary(df: DataFrame, actual: str, probability: str, positive, *more: Colum
     return row
 
 
-def binary_log_loss(df: DataFrame, actual: str, probability: str, positive) -> float:
+def binary_log_loss(df: DataFrame, actual: str, probability: str, positive, row_id: str | Sequence[str] | None = None) -> float:
     p = _clamped(col(probability).cast("double"))
     loss = -F.log(F.when(col(actual) == F.lit(positive), p).otherwise(1 - p))
-    return _finished("binary_log_loss", _binary(df, actual, probability, positive, F.avg(loss).alias("v"))["v"])
+    return _finished("binary_log_loss", _binary(df, actual, probability, positive, row_id, F.avg(loss).alias("v"))["v"])
 
 
-def multiclass_log_loss(df: DataFrame, actual: str, probabilities: str, classes: Sequence) -> float:
+def multiclass_log_loss(df: DataFrame, actual: str, probabilities: str, classes: Sequence, row_id: str | Sequence[str] | None = None) -> float:
     """probabilities is an array in the order of the sorted classes; only the actual class's is looked at."""
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), col(actual))
     p = F.element_at(col(probabilities), F.greatest(place.cast("int"), F.lit(1)))
     row = df.agg(
-        F.count("*").alias("n"), F.count_if(place == 0).alias("unknown"), F.max(F.size(col(probabilities))).alias("most"), F.min(F.size(col(probabilities))).alias("least"),
-        F.count_if(~finite(p)).alias("bad"), F.min(F.when((p < 0) | (p > 1), p)).alias("out"), F.avg(-F.log(_clamped(p))).alias("v"),
+        F.count("*").alias("n"), _first(F.coalesce(place, F.lit(0)) == 0, row_id).alias("unknown"), F.max(F.size(col(probabilities))).alias("most"), F.min(F.size(col(probabilities))).alias("least"),
+        _first(_improper(p), row_id, p.cast("double").alias("p")).alias("bad"), F.avg(-F.log(_clamped(p))).alias("v"),
     ).first()
     if not row["n"]:
         raise errors.EmptyMetricInput()
@@ -192,52 +214,52 @@ def multiclass_log_loss(df: DataFrame, actual: str, probabilities: str, classes:
         if size != len(classes):
             raise errors.MismatchedClassCount(expected=len(classes), actual=size)
     if row["unknown"]:
-        raise errors.UnknownLabel(row=None)
-    if row["bad"]:
-        raise errors.NonFiniteProbability(row=None)
-    if row["out"] is not None:
-        raise errors.InvalidProbability(row=None, value=row["out"])
+        raise errors.UnknownLabel(row=row["unknown"]["row"])
+    _refuse(row["bad"])
     return _finished("multiclass_log_loss", row["v"])
 
 
 def _auc(scored: DataFrame) -> DataFrame:
     """class and auc from class, p and hit (0 or 1), by ranks with ties averaged.
 
-    Rows of equal class and p meet in one aggregate.  Counts below are summed first over ranges of p
-    and then within each range, so no task sorts a whole class.
+    Rows of equal class and p meet in one aggregate.  These are dealt by ranges of class and p, drawn
+    from a sample and so of like sizes wherever the values lie; ranks are counted within each range,
+    and what stands below a range is added to its sums.
     """
-    ties = scored.groupBy("class", "p").agg(F.count("*").alias("n"), F.sum("hit").alias("pos"), F.floor(F.col("p") * 512).alias("range"))
-    ranges = ties.groupBy("class", "range").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("class").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranges.select("class", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ties = scored.groupBy("class", "p").agg(F.count("*").alias("n"), F.sum("hit").alias("pos"))
+    dealt = ties.repartitionByRange("class", "p").withColumn("range", F.spark_partition_id())
     within = Window.partitionBy("class", "range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0))).join(bases, ["class", "range"])
-    rank = F.col("base") + F.col("below") + (F.col("n") + 1) / 2
-    sums = ranked.groupBy("class").agg(F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    rank = F.coalesce(F.sum("n").over(within), F.lit(0)) + (F.col("n") + 1) / 2
+    parts = dealt.withColumn("r", F.col("pos") * rank).groupBy("class", "range").agg(F.sum("r").alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    # as many rows as ranges, or as classes and ranges
+    before = Window.partitionBy("class").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("r", F.col("r") + F.col("pos") * F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = placed.groupBy("class").agg(F.sum("r").alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     return sums.select("class", F.when((pos > 0) & (neg > 0), (F.col("r") - pos * (pos + 1) / 2) / (pos.cast("double") * neg)).alias("auc"))
 
 
-def roc_auc_score(df: DataFrame, actual: str, probability: str, positive) -> float:
-    _binary(df, actual, probability, positive)
+def roc_auc_score(df: DataFrame, actual: str, probability: str, positive, row_id: str | Sequence[str] | None = None) -> float:
+    _binary(df, actual, probability, positive, row_id)
     made = _auc(df.select(F.lit(0).alias("class"), col(probability).cast("double").alias("p"), (col(actual) == F.lit(positive)).cast("long").alias("hit")))
     return _finished("roc_auc", made.first()["auc"])
 
 
-def roc_auc_score_ovr(df: DataFrame, actual: str, probabilities: str, classes: Sequence) -> float:
+def roc_auc_score_ovr(df: DataFrame, actual: str, probabilities: str, classes: Sequence, row_id: str | Sequence[str] | None = None) -> float:
     """Mean over the classes of the area of each against the rest."""
     if len(classes) < 2:
         raise errors.InsufficientClasses(required=2, actual=len(classes))
     p = col(probabilities)
-    row = df.agg(F.count("*").alias("n"), F.count_if(F.size(p) != len(classes)).alias("size"), F.count_if(~F.forall(p, finite)).alias("bad"), F.count_if(F.exists(p, lambda x: (x < 0) | (x > 1))).alias("out")).first()
+    wrong = F.filter(p, _improper)
+    row = df.agg(
+        F.count("*").alias("n"), F.min(F.size(p)).alias("least"), F.max(F.size(p)).alias("most"), _first(F.size(wrong) > 0, row_id, F.get(wrong, F.lit(0)).cast("double").alias("p")).alias("bad")
+    ).first()
     if not row["n"]:
         raise errors.EmptyMetricInput()
-    if row["size"]:
-        raise errors.MismatchedClassCount(expected=len(classes), actual=None)
-    if row["bad"]:
-        raise errors.NonFiniteProbability(row=None)
-    if row["out"]:
-        raise errors.InvalidProbability(row=None, value=None)
+    for size in (row["least"], row["most"]):
+        if size != len(classes):
+            raise errors.MismatchedClassCount(expected=len(classes), actual=size)
+    _refuse(row["bad"])
     names = F.array(*[F.lit(c) for c in classes])
     each = df.select(col(actual).alias("actual"), F.posexplode(p).alias("class", "p"))
     made = _auc(each.select("class", "p", (F.col("actual") == F.element_at(names, F.col("class") + 1)).cast("long").alias("hit"))).collect()

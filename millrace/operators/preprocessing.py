@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import errors
 from ..dataset import Dataset, check_width, col
 from ..functions.expressions import finite, number
+from ..plans.aggregates import medians
 from .base import Transformer, TransformerEstimator
 
 
@@ -202,8 +203,7 @@ class SimpleImputer(TransformerEstimator):
         if self.strategy == "constant":
             return FittedSimpleImputer(data.features, (float(self.value),) * data.n_features)
         present = [F.when(~F.isnan(x), x) for x in data.xs]
-        how = F.avg if self.strategy == "mean" else F.median
-        row = data.df.agg(*[how(x).alias(f"f{i}") for i, x in enumerate(present)]).first()
+        row = medians(data.df, present) if self.strategy == "median" else data.df.agg(*[F.avg(x) for x in present]).first()
         for i, c in enumerate(data.features):
             if row[i] is None:
                 raise errors.AllValuesMissing(column=c)

@@ -1,8 +1,9 @@
-"""Aggregates over rows that fits are made of: moments, sums by numpy kernels, and a tall-skinny QR."""
+"""Aggregates over rows that fits are made of: moments, sums by numpy kernels, a tall-skinny QR, and medians."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,3 +95,51 @@ def tall_qr(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
     rows = met.toArrow()
     x = np.column_stack([rows.column(i).to_numpy() for i in range(p)]) if rows.num_rows else np.zeros((0, p))
     return np.linalg.qr(x, mode="r") if len(x) else x
+
+
+def medians(df: DataFrame, columns: list[Column], few: int = 4096) -> list[float | None]:
+    """The exact median of each column's values that are not null, as one number or the midpoint of two.
+
+    Each round draws three approximate quantiles near every rank that is looked for, and counts the values
+    below and at each of them.  A rank is found at one of them, or lies in an open interval between two,
+    which holds some thousandths of the values or fewer.  Values come to the driver once an interval
+    holds at most `few` of them.  Each round is two aggregates of all columns together.
+    """
+    sizes = df.agg(*[F.count(c) for c in columns]).first()
+    found: dict[tuple[int, int], float] = {}
+    # rank, counted from 0 over the whole column: the open interval that holds it, its size, the values below it
+    wanted = {(j, k): (None, None, n, 0) for j, n in enumerate(sizes) if n for k in {(n - 1) // 2, n // 2}}
+
+    def inside(j: int, low: float | None, high: float | None) -> Column:
+        x = columns[j]
+        tests = [x > F.lit(low)] * (low is not None) + [x < F.lit(high)] * (high is not None)
+        return F.when(reduce(lambda a, b: a & b, tests, F.lit(True)), x)
+
+    while wanted:
+        ready = {t: w for t, w in wanted.items() if w[2] <= few}
+        if ready:
+            row = df.agg(*[F.sort_array(F.collect_list(inside(t[0], *w[:2]))) for t, w in ready.items()]).first()
+            found |= {t: float(values[t[1] - w[3]]) for (t, w), values in zip(ready.items(), row)}
+        wanted = {t: w for t, w in wanted.items() if t not in ready}
+        if not wanted:
+            break
+        shares = {t: [min(1.0, max(0.0, (t[1] - w[3] + 0.5) / w[2] + d)) for d in (-5e-4, 0.0, 5e-4)] for t, w in wanted.items()}
+        drawn = df.agg(*[F.percentile_approx(inside(t[0], *w[:2]), shares[t], 10000) for t, w in wanted.items()]).first()
+        pivots = {t: sorted(set(values)) for t, values in zip(wanted, drawn)}
+        counts = df.agg(*[F.count_if(test) for t, w in wanted.items() for p in pivots[t] for x in [inside(t[0], *w[:2])] for test in (x < F.lit(p), x == F.lit(p))]).first()
+        at, still = 0, {}
+        for t, (low, high, n, below) in wanted.items():
+            k, edges = t[1] - below, [(low, 0)]
+            for p in pivots[t]:
+                less, same = counts[at], counts[at + 1]
+                at += 2
+                if less <= k < less + same:
+                    found[t] = float(p)
+                edges.append((p, less, less + same))
+            if t not in found:
+                last = max(i for i, e in enumerate(edges) if i == 0 or e[2] <= k)
+                start = edges[last][2] if last else 0
+                end, upper = (edges[last + 1][1], edges[last + 1][0]) if last + 1 < len(edges) else (n, high)
+                still[t] = (edges[last][0], upper, end - start, below + start)
+        wanted = still
+    return [found[j, (n - 1) // 2] / 2 + found[j, n // 2] / 2 if n else None for j, n in enumerate(sizes)]

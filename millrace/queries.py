@@ -528,17 +528,38 @@ def pca_transform(spark, sf_dir):
     return rounded(decomposition.PrincipalComponentAnalysis(1).fit(data).transform(data).df, ["p_partkey"], ["pc1"], 4)
 
 
-def _lloyd_sql(rounds: int = 5, k: int = 3) -> str:
-    sql = f"WITH d AS (SELECT event_id, value FROM events), c0 AS (SELECT (row_number() OVER (ORDER BY event_id) - 1)::INT AS i, value AS c FROM (SELECT * FROM d ORDER BY event_id LIMIT {k}))"
+def _lloyd_sql(start: str, rounds: int = 5) -> str:
+    """Rounds from a start, which tells c0 (i, c) of the rows d (event_id, value)."""
+    sql = f"WITH d AS (SELECT event_id, value FROM events), {start}"
     for j in range(rounds):
         sql += f", a{j} AS (SELECT event_id, value, (SELECT i FROM c{j} ORDER BY (value - c) ** 2, i LIMIT 1) AS i FROM d), c{j + 1} AS (SELECT c{j}.i, coalesce(avg(value), any_value(c)) AS c FROM c{j} LEFT JOIN a{j} USING (i) GROUP BY c{j}.i)"
     return sql + f" SELECT event_id, (SELECT i FROM c{rounds} ORDER BY (value - c) ** 2, i LIMIT 1) AS cluster FROM d"
 
 
-@query(_lloyd_sql())
-def kmeans_five_rounds(spark, sf_dir):
-    data = Dataset(table(spark, sf_dir, "events"), ["value"], None, "event_id")
-    return cluster.KMeans(3, init="first", max_iterations=5, tolerance=1e-300).fit(data).predict(data).select("event_id", "cluster")
+def _first_three(order: str) -> str:
+    return f"c0 AS (SELECT (row_number() OVER (ORDER BY {order}) - 1)::INT AS i, value AS c FROM (SELECT * FROM d ORDER BY {order} LIMIT 3))"
+
+
+def _race(j: int, chosen: str) -> str:
+    """The winner of an exponential race at rates of squared distances from the rows chosen before."""
+    u = f"(('0x' || substr(md5(concat_ws('-', event_id::VARCHAR, '42', '{j}')), 1, 13))::BIGINT + 0.5) / 2.0::DOUBLE ** 52"
+    return f"SELECT {j} AS i, value AS c FROM (SELECT value, -ln({u}) / nullif((SELECT min((value - c) ** 2) FROM ({chosen})), 0) AS race FROM d) ORDER BY race NULLS LAST, value LIMIT 1"
+
+
+DRAW = "md5(concat_ws('-', event_id::VARCHAR, '42'))"
+PLUSPLUS = f"p0 AS MATERIALIZED (SELECT 0 AS i, value AS c FROM d ORDER BY {DRAW} LIMIT 1), p1 AS MATERIALIZED ({_race(1, 'FROM p0')}), p2 AS MATERIALIZED ({_race(2, 'FROM p0 UNION ALL FROM p1')}), c0 AS (FROM p0 UNION ALL FROM p1 UNION ALL FROM p2)"
+
+
+def _five_rounds(name: str, init: str, start: str) -> None:
+    @query(_lloyd_sql(start), name)
+    def run(spark, sf_dir):
+        data = Dataset(table(spark, sf_dir, "events"), ["value"], None, "event_id")
+        return cluster.KMeans(3, init=init, max_iterations=5, tolerance=1e-300).fit(data).predict(data).select("event_id", "cluster")
+
+
+_five_rounds("kmeans_five_rounds", "first", _first_three("event_id"))
+_five_rounds("kmeans_random_start", "random", _first_three(DRAW))
+_five_rounds("kmeans_plusplus_start", "plusplus", PLUSPLUS)
 
 
 DENSITY = """WITH d AS (SELECT c_custkey, c_acctbal AS x FROM customer),
@@ -563,6 +584,16 @@ def gaussian_mixture(spark, sf_dir):
     return model.predict(data, "component").select("event_id", "component")
 
 
+@query("SELECT event_id % 2 AS side, round(count(*) / (SELECT count(*) FROM events), 6) AS weight, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value) + 1e-6, 4) AS variance FROM events GROUP BY 1")
+def gaussian_mixture_apart(spark, sf_dir):
+    """Two components of which every row belongs to one alone: their moments are those of the two sides."""
+    df = table(spark, sf_dir, "events").withColumn("moved", F.col("value") + F.col("event_id") % 2 * 1e4)
+    model = cluster.GaussianMixture(2).fit(Dataset(df, ["moved"], None, "event_id"))
+    found = sorted(zip(model.weights, model.means, model.covariances), key=lambda c: c[1])
+    rows = [(side, float(w), float(m[0]) - 1e4 * side, float(v[0][0])) for side, (w, m, v) in enumerate(found)]
+    return spark.createDataFrame(rows, "side long, weight double, mean double, variance double").select("side", r("weight").alias("weight"), r("mean").alias("mean"), r("variance", 4).alias("variance"))
+
+
 # --- trees -----------------------------------------------------------------------------------------
 
 
@@ -762,6 +793,20 @@ def permutation_importance(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, importance double").withColumn("importance", r("importance", 4))
 
 
+STEPS = f"""WITH filled AS (SELECT {', '.join(LINE_KEYS)}, l_quantity AS q, coalesce(nullif(l_tax, 0.05), (SELECT avg(nullif(l_tax, 0.05)) FROM lineitem)) AS t FROM lineitem),
+scaled AS (SELECT {', '.join(LINE_KEYS)}, (q - min(q) OVER ()) / (max(q) OVER () - min(q) OVER ()) AS q, (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) AS t FROM filled)
+SELECT {', '.join(LINE_KEYS)}, round(q, 6) + 0.0 AS a, round(t, 6) + 0.0 AS b, round(q * q, 6) + 0.0 AS c, round(q * t, 6) + 0.0 AS d, round(t * t, 6) + 0.0 AS e FROM scaled"""
+
+
+@query(STEPS)
+def pipeline_steps(spark, sf_dir):
+    """Fill, scale and multiply: each step is fitted to what the one before makes."""
+    data = _with_gaps(spark, sf_dir)
+    steps = Pipeline().then(preprocessing.SimpleImputer.mean()).then(preprocessing.MinMaxScaler()).then(preprocessing.PolynomialFeatures(2, include_bias=False))
+    made = steps.fit(data).transform(data)
+    return made.df.select(*LINE_KEYS, *[r(col(c)).alias(n) for c, n in zip(made.features, "abcde")])
+
+
 FLAGSHIP = """WITH s AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a, (l_discount - avg(l_discount) OVER ()) / stddev_pop(l_discount) OVER () AS b, {y} AS y FROM lineitem),
 m AS (SELECT avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS vab, covar_pop(a, y) AS ca, covar_pop(b, y) AS cb FROM s),
 w AS (SELECT *, (ca * vb - cb * vab) / (va * vb - vab * vab) AS w0, (cb * va - ca * vab) / (va * vb - vab * vab) AS w1 FROM m)

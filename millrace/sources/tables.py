@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import errors
@@ -12,14 +12,30 @@ from ..dataset import Dataset
 _NUMBERS = (pa.types.is_floating, pa.types.is_integer)
 
 
-def dataset_from_csv(spark: SparkSession, path: str, target_column: int, has_headers: bool = True, target_type: str = "double") -> Dataset:
-    """A dataset of the numbers in a CSV file, with its row numbers as row_id; fields are trimmed.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows of files with their numbers as row_id, in order of the files' paths and of places in them.
+
+    A block of a file is read by one task, one row after another: a row's number is the number of rows in
+    blocks before its own, of which there is one count a block, and its place in the block.
+    """
+    block = ["_file", "_block"]
+    read = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    blocks = read.groupBy(*block).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return read.join(F.broadcast(bases), block).withColumn("row_id", F.col("_place") - F.col("_first") + F.col("_base")).drop(*block, "_place", "_first", "_base")
+
+
+def dataset_from_csv(spark: SparkSession, path: str, target_column: int, has_headers: bool = True, target_type: str = "double", multi_line: bool = False) -> Dataset:
+    """A dataset of the numbers in a CSV file, with its row numbers, from 0, as row_id; fields are trimmed.
+
+    Quoted fields may hold line ends if multi_line is set; a file is then read by one task.
 
     Rows with more or fewer fields, fields that are no numbers and a target column that does not
     exist are errors.
     """
     try:
-        lines = spark.read.option("header", False).csv(path, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
+        lines = spark.read.option("header", False).csv(path, enforceSchema=True, multiLine=multi_line, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
         first = lines.first()
     except Exception as e:
         raise errors.CsvError(reason=str(e).splitlines()[0]) from None
@@ -30,8 +46,8 @@ def dataset_from_csv(spark: SparkSession, path: str, target_column: int, has_hea
         raise errors.CsvError(reason=f"there is no column {target_column}")
     names = [f"f{i}" for i in range(width)]
     schema = ", ".join(f"{n} string" for n in names) + ", _broken string"
-    rows = spark.read.option("header", has_headers).option("columnNameOfCorruptRecord", "_broken").option("mode", "PERMISSIVE").schema(schema).csv(path, enforceSchema=True)
-    numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
+    rows = spark.read.option("header", has_headers).option("columnNameOfCorruptRecord", "_broken").option("mode", "PERMISSIVE").schema(schema).csv(path, enforceSchema=True, multiLine=multi_line)
+    numbered = _numbered(rows)
     target = names.pop(target_column)
     made = numbered.select(
         "row_id",

@@ -15,6 +15,7 @@ from millrace.functions import cart
 from millrace.operators import cluster, decomposition, feature_selection, inspection, linear, metrics, naive_bayes, neighbors, preprocessing, trees
 from millrace.operators import model_selection as ms
 from millrace.operators.pipeline import Pipeline
+from millrace.plans.aggregates import medians
 from millrace.sources import models, tables
 from millrace.streaming import scoring
 
@@ -297,6 +298,43 @@ def test_regression_metrics(spark):
         metrics.mean_squared_error(df.limit(0), "a", "p")
 
 
+def test_metric_errors_name_the_first_row(spark):
+    df = spark.createDataFrame([(7, 1.0, math.inf), (3, None, 0.5), (5, math.nan, 2.0), (9, 0.0, -1.0)], "id long, a double, p double")
+    for kind, row, of in (
+        (errors.NonFiniteActualTarget, 3, lambda: metrics.mean_squared_error(df, "a", "p", "id")),
+        (errors.NonFinitePrediction, 7, lambda: metrics.r2_score(df.na.fill(1.0).replace(math.nan, 1.0, ["a"]), "a", "p", "id")),
+        (errors.InvalidProbability, 5, lambda: metrics.binary_log_loss(df, "a", "p", 1.0, "id")),
+        (errors.NonFiniteProbability, 7, lambda: metrics.roc_auc_score(df.where("id > 5"), "a", "p", 1.0, "id")),
+        (errors.UnknownLabel, 3, lambda: metrics.multiclass_log_loss(df.select("id", "a", F.array("p", "p").alias("p")), "a", "p", [0.0, 1.0], "id")),
+        (errors.InvalidProbability, 5, lambda: metrics.roc_auc_score_ovr(df.select("id", "a", F.array("p", "p").alias("p")), "a", "p", [0.0, 1.0], ["id"])),
+        (errors.NonFiniteActualTarget, None, lambda: metrics.mean_absolute_error(df, "a", "p")),
+    ):
+        with pytest.raises(kind) as found:
+            of()
+        assert found.value.values["row"] == row
+        assert found.value.values.get("value", 2.0) == 2.0
+
+
+def test_roc_auc_of_crowded_scores(spark):
+    """Scores that lie close together, with ties, against all pairs."""
+    rng = np.random.default_rng(3)
+    p = np.concatenate([1e-9 * rng.integers(0, 50, 300), rng.random(20)])
+    hit = rng.random(320) < 0.3 + 0.4 * (p > 2e-8)
+    df = spark.createDataFrame([(int(h), float(x)) for h, x in zip(hit, p)], "a int, p double").repartition(3)
+    pairs = np.sign(p[hit][:, None] - p[~hit][None, :])
+    assert math.isclose(metrics.roc_auc_score(df, "a", "p", 1), ((pairs + 1) / 2).mean())
+
+
+@pytest.mark.parametrize("n", [4000, 4001])
+def test_medians_by_rounds(spark, n):
+    rng = np.random.default_rng(n)
+    columns = [rng.normal(size=n) ** 9, rng.integers(0, 3, n).astype(float), np.where(rng.random(n) < 0.6, 5.0, rng.normal(size=n)), np.full(n, -2.5)]
+    schema = "a double, b double, c double, d double, e double"
+    df = spark.createDataFrame([(*map(float, row), None) for row in zip(*columns)], schema).repartition(3)
+    for few in (10**6, 3):
+        assert medians(df, [F.col(c) for c in "abcde"], few) == [*map(np.median, columns), None]
+
+
 def test_classification_metrics(spark):
     df = spark.createDataFrame(list(zip([0, 1, 2, 0, 1, 2], [0, 2, 1, 0, 0, 2])), "a int, p int")
     np.testing.assert_allclose([f(df, "a", "p") for f in (metrics.precision_score, metrics.recall_score, metrics.f1_score)], [7 / 18, 0.5, 13 / 30])
@@ -394,6 +432,24 @@ def test_csv(spark, tmp_path):
         tables.dataset_from_csv(spark, str(tmp_path / "none.csv"), 0)
 
 
+def test_csv_row_numbers(spark, tmp_path):
+    """Numbers follow files and places in them, however many tasks read; quoted line ends are allowed if asked for."""
+    for f in range(3):
+        (tmp_path / f"{f}.csv").write_text("a,y\n" + "".join(f"{i},{f}\n" for i in range(100 * f, 100 * (f + 1) - 10 * f)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+        data = tables.dataset_from_csv(spark, str(tmp_path), 1)
+        found = [tuple(r) for r in data.df.select("row_id", "f0").orderBy("row_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == list(enumerate([*range(100), *range(100, 190), *range(200, 280)]))
+    path = tmp_path / "quoted.csv"
+    path.write_text('a,y\n1,"p\nq"\n2,r\n')
+    lines = tables.dataset_from_csv(spark, str(path), 1, True, "string", multi_line=True)
+    assert [tuple(r) for r in lines.df.select("row_id", "f0", "target").orderBy("row_id").collect()] == [(0, 1.0, "p\nq"), (1, 2.0, "r")]
+
+
 def test_arrow(spark):
     table = pa.table({"a": pa.array([1, None], pa.int32()), "y": ["p", "q"]})
     data = tables.arrays_from_arrow(spark, table, 1)

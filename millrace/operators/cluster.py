@@ -138,6 +138,29 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Features that points meet by; cells of more would have too many neighbours.
+GRID = 3
+
+
+def _least_labels(edges: DataFrame) -> DataFrame:
+    """id and label, the least id of its component, of every id in edges (id, other), which hold both ways and every id itself."""
+    label = _cut(edges.groupBy("id").agg(F.min("other").alias("label")))
+    while True:
+        # the least label among neighbours, and then the label of that label: paths shrink by halves
+        spread = edges.join(label.select(F.col("id").alias("other"), F.col("label").alias("l")), "other").groupBy("id").agg(F.min("l").alias("label"))
+        jumped = spread.join(label.select(F.col("id").alias("label"), F.col("label").alias("l")), "label").select("id", F.least("label", "l").alias("label"))
+        new = _cut(jumped)
+        same = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
+        label = new
+        if same:
+            return label
+
+
+def _numbered(label: DataFrame) -> DataFrame:
+    """label and cluster: the rank of each label."""
+    return _cut(ranked(label.select("label").distinct(), [F.col("label")], "cluster").select("label", F.col("cluster").cast("int")))
+
+
 @dataclass(frozen=True)
 class Dbscan:
     """Density clusters.  A row's neighbours are those within eps, itself included; min_samples of them make it a core.
@@ -156,42 +179,98 @@ class Dbscan:
             raise errors.InvalidMinSamples(value=self.min_samples)
 
     def fit(self, data: Dataset) -> "FittedDbscan":
-        """Rows meet by cells of eps: a row is compared with those of its own and the adjoining cells.
-
-        Cells of the first GRID features are used; more would have too many neighbours.  Rows that
-        are equal in all features are one point with a weight.
-        """
+        """Rows that are equal in all features are one point with a weight."""
         data.validate()
-        grid, p = min(data.n_features, 3), data.n_features
-        xs = [f"x{i}" for i in range(p)]
+        xs = [f"x{i}" for i in range(data.n_features)]
         named = data.df.select(data.row.alias("row"), *[x.alias(c) for x, c in zip(data.xs, xs)])
         points = _cut(named.groupBy(*xs).agg(F.min("row").alias("id"), F.count("*").alias("w")))
-        cell = [F.floor(F.col(c) / self.eps).alias(f"g{i}") for i, c in enumerate(xs[:grid])]
+        labels, n_clusters = self._by_cells(points, xs) if len(xs) <= GRID else self._by_pairs(points, xs)
+        return FittedDbscan(_cut(named.join(labels, xs).select("row", "cluster")), n_clusters)
+
+    def _within(self, xs: list[str]) -> Column:
+        return total([(F.col(c) - F.col(f"y{i}")) * (F.col(c) - F.col(f"y{i}")) for i, c in enumerate(xs)]) <= self.eps * self.eps
+
+    def _by_cells(self, points: DataFrame, xs: list[str]) -> tuple[DataFrame, int]:
+        """Clusters of points of up to GRID features, without lists of pairs of points.
+
+        Points meet by cells so small that points of one cell are always neighbours.  All points of a cell
+        that weighs min_samples are cores; only points of lighter cells, of which each holds fewer than
+        min_samples, are compared with those around them.  The graph is one of cells: the cores of a cell are
+        in one cluster, and two cells are linked if two cores of theirs are neighbours.  Extreme cores of
+        either cell show most links; only cells whose boxes are near each other, and which are not in one
+        cluster by then, are compared by their cores that are near the other's box.
+        """
+        p = len(xs)
+        side, reach = self.eps / math.sqrt(p) * (1 - 1e-6), 2
+        offsets = list(itertools.product(range(-reach, reach + 1), repeat=p))
+        ys = [F.col(c).alias(f"y{i}") for i, c in enumerate(xs)]
+
+        def around(df: DataFrame, steps: list[tuple[int, ...]]) -> DataFrame:
+            """df with a row for each of the cells around its own."""
+            each = F.array(*[F.array(*[F.lit(v).cast("long") for v in t]) for t in steps])
+            return df.withColumn("_step", F.explode(each)).withColumn("cell", F.zip_with("cell", "_step", lambda u, v: u + v)).drop("_step")
+
+        placed = _cut(points.withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in xs])))
+        crowded = placed.groupBy("cell").agg(F.sum("w").alias("n")).where(F.col("n") >= self.min_samples).select("cell", F.lit(True).alias("crowded"))
+        marked = _cut(placed.join(crowded, "cell", "left"))
+        met = around(marked.where("crowded is null").select("id", "cell", *xs), offsets).join(marked.select("cell", "w", *ys), "cell").where(self._within(xs))
+        counted = met.groupBy("id").agg(F.sum("w").alias("n")).where(F.col("n") >= self.min_samples).select("id", F.lit(True).alias("counted"))
+        known = _cut(marked.join(counted, "id", "left").withColumn("core", F.coalesce("crowded", "counted", F.lit(False))).drop("crowded", "counted"))
+        cores = known.where("core").select("id", "cell", *xs)
+
+        at = F.array(*map(F.col, xs))
+        extremes = F.array(*[by(at, F.col(c)) for c in xs for by in (F.min_by, F.max_by)])
+        boxes = _cut(cores.groupBy("cell").agg(F.min("id").alias("id"), F.array(*[F.min(c) for c in xs]).alias("low"), F.array(*[F.max(c) for c in xs]).alias("high"), extremes.alias("ends")))
+
+        def gap(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+            """Whether two boxes are within eps of each other."""
+            apart = [F.greatest(F.lit(0.0), other_low[i] - high[i], low[i] - other_high[i]) for i in range(p)]
+            return total([d * d for d in apart]) <= self.eps * self.eps
+
+        others = boxes.select("cell", F.col("cell").alias("b_cell"), F.col("id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in ("low", "high", "ends")])
+        start = around(boxes.withColumn("a_cell", F.col("cell")), [t for t in offsets if t > (0,) * p])
+        near = start.join(others, "cell").where(gap(*map(F.col, ("low", "high", "b_low", "b_high"))))
+        touch = F.exists("ends", lambda u: F.exists("b_ends", lambda v: total([(u[i] - v[i]) * (u[i] - v[i]) for i in range(p)]) <= self.eps * self.eps))
+        near = _cut(near.select("a_cell", "b_cell", "id", "other", "low", "high", "b_low", "b_high", touch.alias("touch")))
+        alone = boxes.select("id", F.col("id").alias("other"))
+        sure = near.where("touch").select("id", "other")
+
+        def labelled(links: DataFrame) -> DataFrame:
+            return _least_labels(_cut(links.union(links.select("other", "id")).union(alone)))
+
+        label = labelled(sure)
+        of = label.select("id", "label")
+        unsure = near.where("not touch").join(of, "id").join(of.withColumnsRenamed({"id": "other", "label": "b_label"}), "other").where("label <> b_label")
+        unsure = _cut(unsure.select("a_cell", "b_cell", "id", "other", "low", "high", "b_low", "b_high"))
+        if not unsure.isEmpty():
+            one = unsure.withColumn("cell", F.col("a_cell")).join(cores.select("cell", *xs), "cell").where(gap(at, at, F.col("b_low"), F.col("b_high"))).select("id", "other", *xs)
+            two = unsure.withColumn("cell", F.col("b_cell")).join(cores.select("cell", *xs), "cell").where(gap(at, at, F.col("low"), F.col("high"))).select("id", "other", *ys)
+            label = labelled(sure.union(one.join(two, ["id", "other"]).where(self._within(xs)).select("id", "other").distinct()))
+        numbers = _numbered(label)
+        cell = _cut(boxes.select("cell", "id").join(label, "id").join(numbers, "label").select("cell", "cluster"))
+        of_core = cores.join(cell, "cell")
+        reached = around(known.where("not core").select("id", "cell", *xs), offsets).join(of_core.select("cell", "cluster", *ys), "cell").where(self._within(xs)).groupBy("id").agg(F.min("cluster").alias("cluster"))
+        border = known.where("not core").select("id", *xs).join(reached, "id", "left")
+        return of_core.select(*xs, "cluster").union(border.select(*xs, "cluster")), numbers.count()
+
+    def _by_pairs(self, points: DataFrame, xs: list[str]) -> tuple[DataFrame, int]:
+        """Clusters of points of more features, which meet by cells of eps in the first GRID of them.
+
+        Pairs of neighbours are written: their number is that of the points by their mean number of neighbours.
+        """
+        p = len(xs)
+        cell = [F.floor(F.col(c) / self.eps).alias(f"g{i}") for i, c in enumerate(xs[:GRID])]
         left = points.select("id", *xs, *cell)
-        steps = [F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(t)]) for t in itertools.product((-1, 0, 1), repeat=grid)]
+        steps = [F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(t)]) for t in itertools.product((-1, 0, 1), repeat=GRID)]
         right = points.select(F.col("id").alias("other"), "w", *[F.col(c).alias(f"y{i}") for i, c in enumerate(xs)], *cell, F.explode(F.array(*steps)).alias("s"))
-        right = right.select("other", "w", *[f"y{i}" for i in range(p)], *[(F.col(f"g{i}") + F.col(f"s.s{i}")).alias(f"g{i}") for i in range(grid)])
-        near = left.join(right, [f"g{i}" for i in range(grid)]).where(total([(F.col(c) - F.col(f"y{i}")) * (F.col(c) - F.col(f"y{i}")) for i, c in enumerate(xs)]) <= self.eps * self.eps)
-        pairs = _cut(near.select("id", "other", "w"))
+        right = right.select("other", "w", *[f"y{i}" for i in range(p)], *[(F.col(f"g{i}") + F.col(f"s.s{i}")).alias(f"g{i}") for i in range(GRID)])
+        pairs = _cut(left.join(right, [f"g{i}" for i in range(GRID)]).where(self._within(xs)).select("id", "other", "w"))
         cores = pairs.groupBy("id").agg(F.sum("w").alias("n")).where(F.col("n") >= self.min_samples).select("id")
-        edges = _cut(pairs.join(cores, "id").join(cores.withColumnRenamed("id", "other"), "other").select("id", "other"))
-        label = _cut(edges.groupBy("id").agg(F.min("other").alias("label")))
-        while True:
-            # the least label among neighbours, and then the label of that label: paths shrink by halves
-            spread = edges.join(label.select(F.col("id").alias("other"), F.col("label").alias("l")), "other").groupBy("id").agg(F.min("l").alias("label"))
-            jumped = spread.join(label.select(F.col("id").alias("label"), F.col("label").alias("l")), "label").select("id", F.least("label", "l").alias("label"))
-            new = _cut(jumped)
-            same = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
-            label = new
-            if same:
-                break
-        # cluster numbers: ranks of the least core rows
-        numbers = _cut(ranked(label.select("label").distinct(), [F.col("label")], "cluster").select("label", F.col("cluster").cast("int")))
+        label = _least_labels(_cut(pairs.join(cores, "id").join(cores.withColumnRenamed("id", "other"), "other").select("id", "other")))
+        numbers = _numbered(label)
         core = label.join(numbers, "label").select("id", "cluster")
         reached = pairs.join(core.withColumnsRenamed({"id": "other"}), "other").groupBy("id").agg(F.min("cluster").alias("reached"))
-        labels = points.join(core, "id", "left").join(reached, "id", "left").select(*xs, F.coalesce("cluster", "reached").alias("cluster"))
-        rows = _cut(named.join(labels, xs).select("row", "cluster"))
-        return FittedDbscan(rows, numbers.count())
+        return points.join(core, "id", "left").join(reached, "id", "left").select(*xs, F.coalesce("cluster", "reached").alias("cluster")), numbers.count()
 
 
 @dataclass(frozen=True)

@@ -516,3 +516,35 @@ def test_learning_curve_takes_shares(spark):
     shares = ms.learning_curve(linear.LinearRegression(), [0.5, 1.0], data, metrics.mean_squared_error)
     rows = ms.learning_curve(linear.LinearRegression(), [30, 60], data, metrics.mean_squared_error)
     assert np.allclose(shares.test_scores, rows.test_scores, atol=1e-12)
+
+
+@pytest.mark.parametrize("p, eps, min_samples, seed", [(1, 0.4, 3, 1), (2, 0.9, 5, 2), (2, 0.5, 3, 3), (3, 1.3, 4, 4), (4, 2.0, 4, 5)])
+def test_dbscan_against_all_pairs(spark, p, eps, min_samples, seed):
+    """Crowded and thin cells, near and far, with repeated points."""
+    rng = np.random.default_rng(seed)
+    xs = np.concatenate([rng.normal(0, 0.3, (60, p)), rng.normal(2.2, 0.5, (50, p)), rng.uniform(-6, 6, (60, p)), np.repeat(rng.uniform(-6, 6, (4, p)), 5, 0)]).round(2)
+    near = ((xs[:, None] - xs[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= min_samples
+    expected, clusters = [None] * len(xs), 0
+    for i in np.flatnonzero(core):
+        if expected[i] is None:
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if expected[k] is None:
+                    expected[k] = clusters
+                    todo += np.flatnonzero(near[k] & core).tolist()
+            clusters += 1
+    for i in np.flatnonzero(~core):
+        expected[i] = min((expected[k] for k in np.flatnonzero(near[i] & core)), default=None)
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(xs)], "row_id long, " + ", ".join(f"x{j} double" for j in range(p)))
+    found = cluster.Dbscan(eps, min_samples).fit(Dataset(df, [f"x{j}" for j in range(p)], None, "row_id"))
+    assert found.n_clusters == clusters and [r["cluster"] for r in found.labels.orderBy("row").collect()] == expected
+
+
+def test_dbscan_cells_linked_by_inner_points(spark):
+    """Two cells whose extreme points are not neighbours, though others are."""
+    xs = [(0.6, 0.6), (0.7, 0.0), (0.0, 0.7), (0.8, 0.8), (1.4, 0.72), (0.72, 1.4), (9.0, 9.0)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(xs)], "row_id long, x0 double, x1 double")
+    found = cluster.Dbscan(1.0, 3).fit(Dataset(df, ["x0", "x1"], None, "row_id"))
+    assert found.n_clusters == 1 and [r["cluster"] for r in found.labels.orderBy("row").collect()] == [0] * 6 + [None]

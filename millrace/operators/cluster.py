@@ -145,15 +145,14 @@ GRID = 3
 def _least_labels(edges: DataFrame) -> DataFrame:
     """id and label, the least id of its component, of every id in edges (id, other), which hold both ways and every id itself."""
     label = _cut(edges.groupBy("id").agg(F.min("other").alias("label")))
+    own = F.when(F.col("id") == F.col("other"), F.col("l"))
     while True:
         # the least label among neighbours, and then the label of that label: paths shrink by halves
-        spread = edges.join(label.select(F.col("id").alias("other"), F.col("label").alias("l")), "other").groupBy("id").agg(F.min("l").alias("label"))
-        jumped = spread.join(label.select(F.col("id").alias("label"), F.col("label").alias("l")), "label").select("id", F.least("label", "l").alias("label"))
-        new = _cut(jumped)
-        same = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
-        label = new
-        if same:
-            return label
+        old = label.select("id", F.col("label").alias("l"))
+        spread = edges.join(old.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("l").alias("label"), F.min(own).alias("old"))
+        label = _cut(spread.join(old.withColumnRenamed("id", "label"), "label").select("id", F.least("label", "l").alias("label"), "old"))
+        if label.where("label <> old").isEmpty():
+            return label.select("id", "label")
 
 
 def _numbered(label: DataFrame) -> DataFrame:

@@ -179,6 +179,15 @@ def keeps(operator: str, drop: Callable[[], None]) -> None:
     _kept[operator] = drop
 
 
+def give_back() -> None:
+    """Return freed memory to the system: what many small arrays have left behind, in the driver or a worker."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def serve(operator: str) -> None:
     """Called by a worker's functions: what other operators have left in the worker is dropped when it changes hands."""
     if _serves[0] == operator:
@@ -187,11 +196,7 @@ def serve(operator: str) -> None:
     for name, drop in _kept.items():
         if name != operator:
             drop()
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    give_back()
 
 
 class Memo:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytegrams import count_grams, framed, gram_keys
-from .common import SLICE_ROWS, drop_table, groups_of, keeps, mix64, serve, slices, text_column, texts, write_result, write_table
+from .common import SLICE_ROWS, drop_table, give_back, groups_of, keeps, mix64, serve, slices, text_column, texts, write_result, write_table
 from .vocabulary import hot_bound
 from .wordvec import SPACE, Words, span_hashes, sum_by, windows, words_of
 
@@ -220,6 +220,8 @@ class Model:
         found = costs.where(F.col("n") >= bound).select("grp", "gram", "cost").toArrow()  # `hot` rows at most
         columns = [found.column(c).to_numpy() for c in range(3)]
         self.broadcast = spark.sparkContext.broadcast((gram_hashes(columns[1], columns[0]), columns[2]))
+        del found, columns
+        give_back()
         rare = costs.where(F.col("n") < bound)
         n, asked = rare.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.bits = max(0, math.ceil(math.log2(max(n / PART_GRAMS, asked / PART_ASKED, 1))))

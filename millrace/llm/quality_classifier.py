@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_name, groups_of, mix64, map_batches, serve, text_column, texts
+from .common import column_name, give_back, groups_of, mix64, map_batches, serve, text_column, texts
 from .wordvec import SPACE, span_hashes
 
 BUCKETS = 1 << 18
@@ -113,7 +113,7 @@ def fit(data: list[bytes], labels: np.ndarray, shown: int = SHOWN) -> np.ndarray
     for lo, hi in groups_of(data):
         text, bucket, value = features(data[lo:hi])
         at = np.searchsorted(text, np.arange(hi - lo + 1))
-        parts += [(np.append(bucket[a:b], BUCKETS), np.append(value[a:b], 1.0)) for a, b in zip(at, at[1:])]
+        parts += [(np.append(bucket[a:b], BUCKETS).astype(np.int32), np.append(value[a:b], 1.0)) for a, b in zip(at, at[1:])]
     for epoch in range(max(3, min(60, shown // max(1, len(parts))))):
         for i in np.random.default_rng(epoch).permutation(len(parts)):
             model.learn(*parts[i], labels[i])
@@ -152,6 +152,7 @@ def classify(
     source = text_column(df, text)
     keep = [text_column(df, c) for c in keep] if keep is not None else df.columns
     weights = fit(*sample(df, labels, allowed, label, doc_id, text, max_train))
+    give_back()
     shared = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS numbers
     kept = df.select(*[f"`{c}`" for c in keep])
     fields = list(kept.schema.fields)

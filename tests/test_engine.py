@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import psutil
 import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -252,6 +253,46 @@ def test_neighbors(make):
         neighbors.KNeighborsClassifier(0)
 
 
+def _worker_peak_mb(run):
+    """The greatest resident memory of a Python worker while run() runs."""
+    def workers():
+        return [q for q in psutil.Process().children(recursive=True) if "pyspark.daemon" in " ".join(q.cmdline())]
+
+    for q in workers():
+        with open(f"/proc/{q.pid}/clear_refs", "w") as f:
+            f.write("5")
+    run()
+    status = [open(f"/proc/{q.pid}/status").read() for q in workers()]
+    return max(int(s.split("VmHWM:")[1].split()[0]) for s in status if "VmHWM:" in s) / 1024
+
+
+@pytest.mark.parametrize("search", [
+    lambda train, asked: neighbors.nearest_neighbors(train, asked, 5),
+])
+def test_neighbors_of_large_tables_in_little_memory(spark, search):
+    """A matrix of 512 queries and all training rows has 614 MB here."""
+    draws = [(F.pmod(F.hash("id", F.lit(seed)), F.lit(99991)) / 7).alias(c) for seed, c in ((1, "a"), (2, "b"))]
+    train = Dataset(spark.range(150_000).select("id", *draws, F.concat(F.lit("c"), F.col("id") % 3).alias("label"), F.col("id").cast("double").alias("y")), ["a", "b"], "label", "id")
+    asked = Dataset(spark.range(200_000, 202_000).select("id", *draws), ["a", "b"], None, "id")
+    assert _worker_peak_mb(lambda: search(train, asked).write.format("noop").mode("overwrite").save()) < 500
+
+
+@pytest.mark.parametrize("p, k", [(1, 3), (2, 7), (6, 4)])
+def test_neighbors_against_all_pairs(spark, monkeypatch, p, k):
+    """Copies, equal distances, queries far away, and many cells of space."""
+    monkeypatch.setattr(neighbors, "BLOCK_CELLS", 60 * p)
+    rng = np.random.default_rng(p)
+    x = np.concatenate([rng.integers(-9, 9, (500, p)), np.repeat(rng.integers(-9, 9, (2, p)), 90, 0)]).astype(float)
+    y = np.concatenate([rng.uniform(-9, 9, (60, p)), rng.integers(-9, 9, (60, p)), np.full((80, p), 40.0)])
+    frames = [spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(m)], "row_id long, " + ", ".join(f"x{j} double" for j in range(p))) for m in (x, y)]
+    train, asked = (Dataset(f, [f"x{j}" for j in range(p)], None, "row_id") for f in frames)
+    d = np.sqrt(sum((y[:, j][:, None] - x[:, j]) ** 2 for j in range(p)))
+    expected = [(q, r + 1, i, d[q, i]) for q in range(len(y)) for r, i in enumerate(np.lexsort((np.arange(len(x)), d[q]))[:k].tolist())]
+    for cells in (10**6, 0):
+        found = neighbors.nearest_neighbors(train, asked, k, cells).drop("target").orderBy("query", "rank").collect()
+        assert [tuple(row) for row in found] == expected
+
+
 def test_clusters(make):
     model = cluster.KMeans(2).fit(make([[-3, -3], [-2.5, -2.5], [-3.5, -2], [3, 3], [2.5, 2.5], [3.5, 2]]))
     assert sorted(model.centres) == [(-3, -2.5), (3, 2.5)] and math.isclose(model.inertia, 2)

@@ -269,6 +269,7 @@ def _worker_peak_mb(run):
 @pytest.mark.parametrize("search", [
     lambda train, asked: neighbors.nearest_neighbors(train, asked, 5),
     lambda train, asked: neighbors.KNeighborsClassifier(5).fit(train).predict(asked),
+    lambda train, asked: neighbors.KNeighborsRegressor(5, "distance").fit(Dataset(train.df, train.features, "y", "id")).predict(asked),
 ])
 def test_neighbors_of_large_tables_in_little_memory(spark, search):
     """A matrix of 512 queries and all training rows has 614 MB here."""

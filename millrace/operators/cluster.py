@@ -6,12 +6,16 @@ import itertools
 import math
 import uuid
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, IntegralType, StringType, StructField, StructType
 
 from .. import errors
 from ..dataset import Dataset, check_width, col
@@ -142,8 +146,45 @@ def _cut(df: DataFrame) -> DataFrame:
 GRID = 3
 
 
+#: Up to so many edges one task finds all components.
+TASK_EDGES = 4_000_000
+
+
+def _components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least number of each number's component, of n that edges u, v connect."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _labels_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edges = [b for b in batches if b.num_rows]
+    if edges:
+        table = pa.Table.from_batches(edges)
+        ids = pc.unique(pa.chunked_array(table.column("id").chunks + table.column("other").chunks))
+        ids = ids.take(pc.sort_indices(ids))
+        u, v = (pc.index_in(table.column(c), value_set=ids).to_numpy() for c in ("id", "other"))
+        label = _components(u, v, len(ids))
+        cluster = np.unique(label, return_inverse=True)[1]
+        yield from pa.table({"id": ids, "label": ids.take(pa.array(label)), "cluster": pa.array(cluster, pa.int32())}).to_batches()
+
+
 def _least_labels(edges: DataFrame) -> DataFrame:
-    """id and label, the least id of its component, of every id in edges (id, other), which hold both ways and every id itself."""
+    """id and label, the least id of its component, of every id in edges (id, other), which hold both ways and every id itself.
+
+    Where one task finds them, it ranks the labels too: there is a column cluster then.
+    """
+    kind = edges.schema["id"].dataType
+    if isinstance(kind, (IntegralType, StringType)) and edges.count() <= TASK_EDGES:
+        named = edges.select("id", "other").repartition(1)
+        return _cut(named.mapInArrow(_labels_of_batches, StructType([StructField("id", kind), StructField("label", kind), StructField("cluster", IntegerType())])))
     label = _cut(edges.groupBy("id").agg(F.min("other").alias("label")))
     own = F.when(F.col("id") == F.col("other"), F.col("l"))
     while True:
@@ -156,8 +197,15 @@ def _least_labels(edges: DataFrame) -> DataFrame:
 
 
 def _numbered(label: DataFrame) -> DataFrame:
-    """label and cluster: the rank of each label."""
-    return _cut(ranked(label.select("label").distinct(), [F.col("label")], "cluster").select("label", F.col("cluster").cast("int")))
+    """id and cluster: the rank of its label."""
+    if "cluster" in label.columns:
+        return label.select("id", "cluster")
+    ranks = ranked(label.select("label").distinct(), [F.col("label")], "cluster").select("label", F.col("cluster").cast("int"))
+    return label.join(_cut(ranks), "label").select("id", "cluster")
+
+
+def _count_of(cluster: DataFrame) -> int:
+    return cluster.agg(F.coalesce(F.max("cluster") + 1, F.lit(0))).first()[0]
 
 
 @dataclass(frozen=True)
@@ -209,7 +257,7 @@ class Dbscan:
             each = F.array(*[F.array(*[F.lit(v).cast("long") for v in t]) for t in steps])
             return df.withColumn("_step", F.explode(each)).withColumn("cell", F.zip_with("cell", "_step", lambda u, v: u + v)).drop("_step")
 
-        placed = _cut(points.withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in xs])))
+        placed = points.withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in xs]))
         crowded = placed.groupBy("cell").agg(F.sum("w").alias("n")).where(F.col("n") >= self.min_samples).select("cell", F.lit(True).alias("crowded"))
         marked = _cut(placed.join(crowded, "cell", "left"))
         met = around(marked.where("crowded is null").select("id", "cell", *xs), offsets).join(marked.select("cell", "w", *ys), "cell").where(self._within(xs))
@@ -239,18 +287,18 @@ class Dbscan:
 
         label = labelled(sure)
         of = label.select("id", "label")
+        # of one feature the extremes are the boxes, so that all near cells touch
         unsure = near.where("not touch").join(of, "id").join(of.withColumnsRenamed({"id": "other", "label": "b_label"}), "other").where("label <> b_label")
-        unsure = _cut(unsure.select("a_cell", "b_cell", "id", "other", "low", "high", "b_low", "b_high"))
-        if not unsure.isEmpty():
+        unsure = _cut(unsure.select("a_cell", "b_cell", "id", "other", "low", "high", "b_low", "b_high")) if p > 1 else None
+        if unsure is not None and not unsure.isEmpty():
             one = unsure.withColumn("cell", F.col("a_cell")).join(cores.select("cell", *xs), "cell").where(gap(at, at, F.col("b_low"), F.col("b_high"))).select("id", "other", *xs)
             two = unsure.withColumn("cell", F.col("b_cell")).join(cores.select("cell", *xs), "cell").where(gap(at, at, F.col("low"), F.col("high"))).select("id", "other", *ys)
             label = labelled(sure.union(one.join(two, ["id", "other"]).where(self._within(xs)).select("id", "other").distinct()))
-        numbers = _numbered(label)
-        cell = _cut(boxes.select("cell", "id").join(label, "id").join(numbers, "label").select("cell", "cluster"))
+        cell = _cut(boxes.select("cell", "id").join(_numbered(label), "id").select("cell", "cluster"))
         of_core = cores.join(cell, "cell")
         reached = around(known.where("not core").select("id", "cell", *xs), offsets).join(of_core.select("cell", "cluster", *ys), "cell").where(self._within(xs)).groupBy("id").agg(F.min("cluster").alias("cluster"))
         border = known.where("not core").select("id", *xs).join(reached, "id", "left")
-        return of_core.select(*xs, "cluster").union(border.select(*xs, "cluster")), numbers.count()
+        return of_core.select(*xs, "cluster").union(border.select(*xs, "cluster")), _count_of(cell)
 
     def _by_pairs(self, points: DataFrame, xs: list[str]) -> tuple[DataFrame, int]:
         """Clusters of points of more features, which meet by cells of eps in the first GRID of them.
@@ -266,10 +314,9 @@ class Dbscan:
         pairs = _cut(left.join(right, [f"g{i}" for i in range(GRID)]).where(self._within(xs)).select("id", "other", "w"))
         cores = pairs.groupBy("id").agg(F.sum("w").alias("n")).where(F.col("n") >= self.min_samples).select("id")
         label = _least_labels(_cut(pairs.join(cores, "id").join(cores.withColumnRenamed("id", "other"), "other").select("id", "other")))
-        numbers = _numbered(label)
-        core = label.join(numbers, "label").select("id", "cluster")
+        core = _numbered(label)
         reached = pairs.join(core.withColumnsRenamed({"id": "other"}), "other").groupBy("id").agg(F.min("cluster").alias("reached"))
-        return points.join(core, "id", "left").join(reached, "id", "left").select(*xs, F.coalesce("cluster", "reached").alias("cluster")), numbers.count()
+        return points.join(core, "id", "left").join(reached, "id", "left").select(*xs, F.coalesce("cluster", "reached").alias("cluster")), _count_of(core)
 
 
 @dataclass(frozen=True)

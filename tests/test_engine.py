@@ -591,3 +591,18 @@ def test_dbscan_cells_linked_by_inner_points(spark):
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(xs)], "row_id long, x0 double, x1 double")
     found = cluster.Dbscan(1.0, 3).fit(Dataset(df, ["x0", "x1"], None, "row_id"))
     assert found.n_clusters == 1 and [r["cluster"] for r in found.labels.orderBy("row").collect()] == [0] * 6 + [None]
+
+
+@pytest.mark.parametrize("ids", ["id", "cast(id AS string)"])
+def test_components_of_a_long_path_in_one_task(spark, monkeypatch, ids):
+    """Some jobs only, however long the path; rounds of joins find the same labels."""
+    n = 3000
+    path = spark.range(n).select("id", F.expr(ids).alias("row"), (F.col("id") * 0.5 + F.floor(F.col("id") / 1000) * 9).alias("x"))
+    data = Dataset(path, ["x"], None, "row")
+    written = []
+    monkeypatch.setattr(cluster, "_cut", lambda df, cut=cluster._cut: (written.append(1), cut(df))[1])
+    found = cluster.Dbscan(0.6, 2).fit(data)
+    assert found.n_clusters == 3 and len(written) <= 9
+    monkeypatch.setattr(cluster, "TASK_EDGES", 0)
+    by_rounds = cluster.Dbscan(0.6, 2).fit(data)
+    assert by_rounds.n_clusters == 3 and sorted(map(tuple, found.labels.collect())) == sorted(map(tuple, by_rounds.labels.collect()))

@@ -341,6 +341,14 @@ def test_regression_metrics(spark):
         metrics.mean_squared_error(df.limit(0), "a", "p")
 
 
+def test_mean_squared_error_of_many_rows_to_its_last_digits(spark):
+    """A search's ranks hang on scores that differ by 1e-14 of themselves or less."""
+    errs = np.random.default_rng(3).uniform(1e5, 2e5, 400_000)
+    df = spark.createDataFrame(pa.table({"y": errs}).to_pandas()).withColumn("prediction", F.lit(0.0)).coalesce(1)
+    exact = math.fsum(errs * errs) / len(errs)
+    assert abs(metrics.mean_squared_error(df, "y", "prediction") - exact) <= 2 * math.ulp(exact)
+
+
 def test_metric_errors_name_the_first_row(spark):
     df = spark.createDataFrame([(7, 1.0, math.inf), (3, None, 0.5), (5, math.nan, 2.0), (9, 0.0, -1.0)], "id long, a double, p double")
     for kind, row, of in (

@@ -241,8 +241,16 @@ class GridSearchResult:
         return len(self.entries)
 
 
+def _alike(a: dict[str, Any], b: dict[str, Any]) -> bool:
+    return all(v is b[n] or (isinstance(v, (int, float, str)) and type(v) is type(b[n]) and v == b[n]) for n, v in a.items())
+
+
 def _search(candidates: list[dict[str, Any]], factory, data: Dataset, scorer: Scorer, direction: str, fold: str, parallel: int) -> GridSearchResult:
-    found = _run([lambda c=c: cross_validate(factory(c), data, scorer, fold) for c in candidates], parallel)
+    """Equal candidates are scored once: sums of two runs can differ in their last digits, which would part their ranks."""
+    first = [next(j for j, other in enumerate(candidates) if _alike(c, other)) for c in candidates]
+    tried = sorted(set(first))
+    scores = dict(zip(tried, _run([lambda c=candidates[i]: cross_validate(factory(c), data, scorer, fold) for i in tried], parallel)))
+    found = [scores[i] for i in first]
     sign = -1 if direction == MAXIMIZE else 1
     order = sorted(range(len(found)), key=lambda i: sign * found[i].mean)
     entries, rank = [], 0

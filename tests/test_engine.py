@@ -460,6 +460,14 @@ def test_searches_and_curves(make):
             bad()
 
 
+def test_equal_candidates_share_a_rank_whatever_sums_lose(make):
+    data = make(range(6), range(6))
+    data = data.with_df(ms.KFold(2).split(data).cache())
+    lost = iter(range(100))
+    found = ms.randomized_search(ms.ParameterGrid().with_parameter("alpha", [1.0]), 3, 7, lambda p: linear.RidgeRegression(p["alpha"]), data, lambda df, y, p: 1 + next(lost) * 2.0**-52, ms.MINIMIZE)
+    assert [e.rank for e in found.entries] == [1, 1, 1]
+
+
 def test_permutation_importance(make):
     data = make([[i, (i * 7) % 5] for i in range(20)], [3.0 * i for i in range(20)])
     model = linear.LinearRegression().fit(data)
